@@ -57,4 +57,33 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
 FROM counted
 """
 
-ORACLES = {"op2_size_tiered_shards": OP2, "op8_curriculum_mix": OP8}
+
+
+def _spans(kind: str, order: int, pattern: str, tail: str, least: int) -> str:
+    """Spans of a pattern; ``tail`` is what of a match must have ``least`` characters."""
+    return f"""
+  SELECT doc_id, {order} AS ord, '{kind}' AS kind, start, start + length(m) AS stop FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(list_transform(range(len(ms)), lambda i:
+      list_sum(list_transform(gaps[1:i + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i], lambda g: length(g))), 0))) AS start
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM texts WHERE regexp_matches(t, '{pattern}'))
+  ) WHERE length(regexp_extract(m, '{tail}', 1)) >= {least}"""
+
+
+_WORD = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_HEAD = _WORD + r"""["'']?\x20*[:=]\x20*["'']?"""
+_CHARS = "[A-Za-z0-9+/_.=-]+"
+OP1 = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS (
+{_spans("assign", 0, _HEAD + _CHARS, "^" + _HEAD + "(" + _CHARS + ")$", 8)}
+UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", "^(.*)$", 16)}
+UNION ALL {_spans("hex", 2, "[0-9a-f]+", "^(.*)$", 32)}
+), listed AS (
+  SELECT doc_id, string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, ord) AS spans,
+    count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access, count(*) FILTER (WHERE ord = 2) AS n_hex
+  FROM found GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts t LEFT JOIN listed l ON t.doc_id IS NOT DISTINCT FROM l.doc_id
+"""
+
+ORACLES = {"op1_secret_ledger": OP1, "op2_size_tiered_shards": OP2, "op8_curriculum_mix": OP8}

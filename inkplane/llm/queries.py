@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import curriculum, shards
+from inkplane.llm import curriculum, secret_ledger, shards
 from inkplane.llm.common import shared_dir, table
 
 
+def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of each document, found once for each distinct text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secret_ledger.scan(docs, secret_ledger.BlobLedger(spark))
+    counts = [secret_ledger.count_of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base = secret_ledger.joined(F.col("_spans"))
+    return out.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), base.alias("spans"))
+
+
 def op2_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document stands after its arrival was appended and small shards were merged."""
     docs = table(spark, sf_dir, "documents")
@@ -25,4 +34,4 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
 
 
-QUERIES = {f.__name__: f for f in (op2_size_tiered_shards, op8_curriculum_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op8_curriculum_mix)}
