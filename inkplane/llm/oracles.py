@@ -86,4 +86,23 @@ SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
   sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts t LEFT JOIN listed l ON t.doc_id IS NOT DISTINCT FROM l.doc_id
 """
 
-ORACLES = {"op1_secret_ledger": OP1, "op2_size_tiered_shards": OP2, "op8_curriculum_mix": OP8}
+_BREAK = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP5 = f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_BREAK}') AS ws FROM documents
+), items AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_BREAK}') AS ws FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, ws[s:s + 9] AS win FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS s FROM items WHERE len(ws) > 0)
+), sizes AS (SELECT DISTINCT len(win) AS n FROM windows
+), spans AS (
+  SELECT doc_id, n, s, ws[s:s + n - 1] AS win FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM docs, sizes WHERE len(ws) >= n)
+), met AS (SELECT doc_id, item_id, s, n FROM spans JOIN windows USING (win)
+), hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS w FROM met) GROUP BY doc_id
+), named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
+"""
+
+ORACLES = {"op5_winnowing": OP5, "op1_secret_ledger": OP1, "op2_size_tiered_shards": OP2, "op8_curriculum_mix": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import curriculum, secret_ledger, shards
+from inkplane.llm import curriculum, secret_ledger, shards, winnow
 from inkplane.llm.common import shared_dir, table
 
 
@@ -27,6 +27,16 @@ def op2_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("row.doc_id", "shard", "tier", "position", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside passages of the benchmark, and the items they come from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = winnow.with_hits(docs.withColumn("n_words", F.size(winnow.words(F.col("text"))).cast("long")), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("_n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, and the training position of its first copy."""
     out = curriculum.assigned(table(spark, sf_dir, "documents"))
@@ -34,4 +44,4 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op8_curriculum_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op5_winnowing, op8_curriculum_mix)}
