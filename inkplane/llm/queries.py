@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import curriculum, secret_ledger, shards, winnow
+from inkplane.llm import curriculum, secret_ledger, shards, simhash_pivot, winnow
 from inkplane.llm.common import shared_dir, table
 
 
@@ -27,6 +27,12 @@ def op2_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("row.doc_id", "shard", "tier", "position", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
+def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of each document and the class of near-duplicates it belongs to."""
+    out = simhash_pivot.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside passages of the benchmark, and the items they come from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,4 +50,4 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op5_winnowing, op8_curriculum_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op3_simhash_pivots, op5_winnowing, op8_curriculum_mix)}
