@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import curriculum, secret_ledger, shards, simhash_pivot, winnow
+from inkplane.llm import curriculum, dac_tokens, secret_ledger, shards, simhash_pivot, winnow
 from inkplane.llm.common import shared_dir, table
 
 
@@ -50,4 +50,11 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op3_simhash_pivots, op5_winnowing, op8_curriculum_mix)}
+def op9_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids stand in the written token files, and their checksum, as read back."""
+    import public_tokenizers
+
+    return dac_tokens.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op3_simhash_pivots, op5_winnowing, op8_curriculum_mix, op9_dac_tokens)}

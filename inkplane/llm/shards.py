@@ -39,7 +39,7 @@ class ShardStore:
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root = spark, root.rstrip("/")
-        self.schema = T.StructType().add("row", schema).add("_seq", "long").add("_tie", "long").add("_bytes", "long").add("_shard", "string")
+        self.schema = T.StructType().add("row", schema).add("_seq", "long").add("_tie", "long").add("_bytes", "long").add("run", "string").add("_shard", "string")
         self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -68,12 +68,15 @@ class ShardStore:
 
     def write(self, rows: DataFrame, run: str) -> DataFrame:
         """Write rows, which stand by shard and in order, as one file per shard; return the shards' manifest rows."""
-        path = f"{self.root}/data/{run}"
+        path = f"{self.root}/data/run={run}"
         rows.write.option("compression", "zstd").partitionBy("_shard").parquet(path)
-        made = self.spark.read.schema(self.schema).parquet(path).groupBy("_shard")
+        made = self.files([run]).groupBy("_shard")
         made = made.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("_bytes").alias("n_bytes"))
         return made.select(F.col("_shard").alias("shard"), F.lit(run).alias("run"), tier(F.col("n_bytes")).alias("tier"), "n_rows", "n_bytes", F.lit(self.version() + 1).alias("version"))
 
+    def files(self, runs: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/run={r}" for r in runs])
+
     def append(self, docs: DataFrame, arrival: Column, order: list[Column], arrival_bytes: int = ARRIVAL_BYTES) -> int:
         """Add docs as immutable shards: each arrival, in the given order, cut where arrival_bytes are full."""
         base = self.version()
@@ -121,7 +124,7 @@ class ShardStore:
         runs = [r.run for r in shards.select("run").distinct().toLocalIterator()]  # one name per append or merge
         if not runs:
             return None
-        data = self.spark.read.schema(self.schema).option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/{r}" for r in runs])
+        data = self.files(runs).drop("run")
         return data.join(F.broadcast(shards) if shards.count() <= MANIFEST_ROWS else shards, data["_shard"] == shards["shard"])
 
     def read(self, version: int | None = None) -> DataFrame:
