@@ -105,4 +105,17 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM docs d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
 """
 
-ORACLES = {"op5_winnowing": OP5, "op1_secret_ledger": OP1, "op2_size_tiered_shards": OP2, "op8_curriculum_mix": OP8}
+OP10 = """
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+  SELECT *, list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || hex[i])::INTEGER), 4, '0')), lambda a, b: a || b) AS b FROM hashed
+), named AS (
+  SELECT *, list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (list_sum(list_transform(range(0, 5), lambda k: b[5 * i + k + 1]::INTEGER * (1 << (4 - k)))) + 1)::INTEGER, 1)), lambda a, b: a || b) AS payload_digest,
+    min(page_id) OVER (PARTITION BY hex) AS least FROM bits
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to FROM named
+"""
+
+ORACLES = {"op10_warc": OP10, "op5_winnowing": OP5, "op1_secret_ledger": OP1, "op2_size_tiered_shards": OP2, "op8_curriculum_mix": OP8}

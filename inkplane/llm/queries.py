@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import curriculum, dac_tokens, secret_ledger, shards, simhash_pivot, winnow
+from inkplane.llm import curriculum, dac_tokens, secret_ledger, shards, simhash_pivot, warc, winnow
 from inkplane.llm.common import shared_dir, table
 
 
@@ -57,4 +57,9 @@ def op9_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac_tokens.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op3_simhash_pivots, op5_winnowing, op8_curriculum_mix, op9_dac_tokens)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold, read back by splits."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op3_simhash_pivots, op5_winnowing, op8_curriculum_mix, op9_dac_tokens, op10_warc)}
