@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import curriculum, dac_tokens, secret_ledger, shards, simhash_pivot, warc, winnow
+from inkplane.llm import curriculum, dac_tokens, edit_embedding, secret_ledger, shards, simhash_pivot, warc, winnow
 from inkplane.llm.common import shared_dir, table
 
 
@@ -33,6 +33,11 @@ def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text, and how like they are."""
+    return edit_embedding.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside passages of the benchmark, and the items they come from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -62,4 +67,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op3_simhash_pivots, op5_winnowing, op8_curriculum_mix, op9_dac_tokens, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op3_simhash_pivots, op4_edit_embedding, op5_winnowing, op8_curriculum_mix, op9_dac_tokens, op10_warc)}
