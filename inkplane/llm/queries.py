@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import curriculum, dac_tokens, edit_embedding, secret_ledger, shards, simhash_pivot, warc, winnow
-from inkplane.llm.common import shared_dir, table
+from inkplane.llm import curriculum, dac_tokens, edit_embedding, quality_gbt, secret_ledger, shards, simhash_pivot, warc, winnow
+from inkplane.llm.common import held_out, shared_dir, table
 
 
 def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,14 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gbt.learn(docs, table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality_gbt.score(model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= quality_gbt.THRESHOLD).cast("int"))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, and the training position of its first copy."""
     out = curriculum.assigned(table(spark, sf_dir, "documents"))
@@ -67,4 +75,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op3_simhash_pivots, op4_edit_embedding, op5_winnowing, op8_curriculum_mix, op9_dac_tokens, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op3_simhash_pivots, op4_edit_embedding, op5_winnowing, op7_quality_trees, op8_curriculum_mix, op9_dac_tokens, op10_warc)}
