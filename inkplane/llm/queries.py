@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import curriculum, dac_tokens, edit_embedding, quality_gbt, secret_ledger, shards, simhash_pivot, warc, winnow
+from inkplane.llm import curriculum, dac_tokens, edit_embedding, lang_crf, quality_gbt, secret_ledger, shards, simhash_pivot, warc, winnow
 from inkplane.llm.common import held_out, shared_dir, table
 
 
@@ -48,6 +48,13 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = lang_crf.labelled(docs, lang_crf.learn(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,4 +82,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op3_simhash_pivots, op4_edit_embedding, op5_winnowing, op7_quality_trees, op8_curriculum_mix, op9_dac_tokens, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_size_tiered_shards, op3_simhash_pivots, op4_edit_embedding, op5_winnowing, op6_language_crf, op7_quality_trees, op8_curriculum_mix, op9_dac_tokens, op10_warc)}
