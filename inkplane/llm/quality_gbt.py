@@ -149,4 +149,4 @@ def score(model: Trees) -> Column:
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score below the threshold."""
     model = learn(docs, labels)
-    return docs.withColumn("_score", score(model)).filter(F.col("_score") >= threshold).drop("_score")
+    return docs.select(F.struct("*").alias("_row"), score(model).alias("_score")).filter(F.col("_score") >= threshold).select("_row.*")

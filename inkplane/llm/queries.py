@@ -15,7 +15,7 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_ledger.scan(docs, secret_ledger.BlobLedger(spark))
     counts = [secret_ledger.count_of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     base = secret_ledger.joined(F.col("_spans"))
-    return out.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), base.alias("spans"))
+    return out.select("_row.doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), base.alias("spans"))
 
 
 def op2_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op2_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of each document and the class of near-duplicates it belongs to."""
     out = simhash_pivot.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op4_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = winnow.with_hits(docs.withColumn("n_words", F.size(winnow.words(F.col("text"))).cast("long")), table(spark, sf_dir, "benchmark"))
     return out.select(
-        "doc_id", "n_words", F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        "_row.doc_id", "_row.n_words", F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("_n_hit") > 0).alias("contaminated"),
     )
 

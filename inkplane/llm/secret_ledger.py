@@ -107,12 +107,12 @@ def blob_id(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, ledger: BlobLedger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with _blob and _spans, by way of the ledger. A new version of a rule is a new rule to the ledger."""
+    """(_row, _spans): the rows of docs as structs and their spans, by way of the ledger."""
     text = F.coalesce("text", F.lit(""))
     ledger.update(docs.select(blob_id(F.col("text")).alias("blob"), text.alias("text")), rules)
-    rows = docs.withColumn("_blob", blob_id(F.col("text")))
-    found = ledger.findings(rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    return rows.join(found, "_blob", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPANS)))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), blob_id(F.col("text")).alias("_blob"))
+    found = ledger.findings(rules)
+    return rows.join(found, rows["_blob"] == found["blob"], "left").select("_row", F.coalesce("spans", F.array().cast(SPANS)).alias("_spans"))
 
 
 def joined(spans: Column) -> Column:

@@ -119,16 +119,19 @@ def summaries(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFr
     return counts.join(named, same, "left").select(counts["doc_id"], counts["key"], "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """_row, _doc and _key, so that no column of docs clashes with working columns."""
+    return docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), row_key(F.col("text")).alias("_key"))
+
+
 def with_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with _n_hit and _items; a null item_id makes hits but has no name."""
-    rows = docs.withColumn("_key", row_key(F.col("text")))
-    found = summaries(docs, items, window).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("n_hit").alias("_n_hit"), F.col("items").alias("_items"))
-    out = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["_key"] == found["_k"]), "left")
-    return out.drop("_id", "_k", "_key").withColumns({"_n_hit": F.coalesce("_n_hit", F.lit(0)).cast("long"), "_items": F.coalesce("_items", F.array().cast("array<string>"))})
+    """(_row, _n_hit, _items): the rows of docs as structs; a null item_id makes hits but has no name."""
+    rows, found = _keyed(docs), summaries(docs, items, window)
+    out = rows.join(found, rows["_doc"].eqNullSafe(found["doc_id"]) & (rows["_key"] == found["key"]), "left")
+    return out.select("_row", F.coalesce("n_hit", F.lit(0)).cast("long").alias("_n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("_items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those in which a window occurs."""
-    rows = docs.withColumn("_key", row_key(F.col("text")))
-    found = hits(docs, items, window)[0].select(F.col("doc_id").alias("_id"), F.col("key").alias("_k")).distinct()
-    return rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["_key"] == found["_k"]), "left_anti").drop("_key")
+    rows, found = _keyed(docs), hits(docs, items, window)[0].select("doc_id", "key").distinct()
+    return rows.join(found, rows["_doc"].eqNullSafe(found["doc_id"]) & (rows["_key"] == found["key"]), "left_anti").select("_row.*")
