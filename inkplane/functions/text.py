@@ -31,37 +31,30 @@ def sorted_tokens(x: Column) -> Column:
     return F.array_join(F.array_sort(tokens(x)), " ")
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, bit-parallel over a, which has 62 characters at most."""
+def char_masks(a: Column) -> Column:
+    """For each character of a, of 62 characters at most, the places where it stands, as a map to bits."""
     chars = F.filter(F.split(a, ""), lambda c: c != "")
-    n = F.size(chars)
-    places = F.sequence(F.lit(1), n)
 
     def bits(ch: Column) -> Column:
-        here = F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.when(F.get(chars, i - 1) == ch, F.expr("1L").cast("long") * F.pow(F.lit(2.0), i - 1).cast("long")).otherwise(F.lit(0).cast("long"))))
-        return F.struct(ch, here)
+        return F.struct(ch, F.aggregate(F.transform(chars, lambda c, i: F.when(c == ch, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y)))
 
-    masks = F.map_from_entries(F.transform(F.array_distinct(chars), bits))
+    return F.map_from_entries(F.transform(F.array_distinct(chars), bits))
+
+
+def lcs_length(masks: Column, n: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of b and a text of n characters with these masks, bit-parallel."""
     full = (F.pow(F.lit(2.0), n) - 1).cast("long")
 
     def step(v: Column, ch: Column) -> Column:
         m = F.coalesce(F.try_element_at(masks, ch), F.lit(0).cast("long"))
-        both = v.bitwiseAND(m)
-        return (v + both).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full)
-
-    last = F.aggregate(F.filter(F.split(b, ""), lambda c: c != ""), full, step)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(n - F.bit_count(last)).cast("int")
+        return (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full)
 
-
-def indel_ratio(a: Column, b: Column) -> Column:
-    """2 * LCS / (|a| + |b|); the shorter side, of 62 characters at most, is the pattern."""
-    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    return 2.0 * lcs_length(short, long) / (F.length(a) + F.length(b))
+    return n - F.bit_count(F.aggregate(F.split(b, "(?!$)"), full, step))
 
 
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    """Indel ratio of the sorted tokens; 0 if either side is blank."""
-    return F.when((F.trim(a) == "") | (F.trim(b) == ""), F.lit(0.0)).otherwise(indel_ratio(sorted_tokens(a), sorted_tokens(b)))
+def indel_ratio(masks: Column, n: Column, b: Column) -> Column:
+    """2 * LCS / (|a| + |b|)."""
+    return 2.0 * lcs_length(masks, n, b) / (n + F.length(b))
 
 
 def is_token_subset(a: Column, b: Column) -> Column:

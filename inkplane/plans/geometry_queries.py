@@ -30,7 +30,7 @@ def pairs(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("a", "b")
     f"""
 WITH {BOXES}, met AS (SELECT w.page_id, w.k, b.j, b.block_type, {_shared("w", "b")} AS shared, w.w * w.h + b.w * b.h - {_shared("w", "b")} AS total FROM words w JOIN boxes b USING (page_id)
 ), best AS (SELECT *, row_number() OVER (PARTITION BY page_id, k ORDER BY shared / total DESC, j) AS r FROM met WHERE shared > 0)
-SELECT w.page_id, w.k, j, block_type, round(shared / total, 4) AS join_iou FROM words w LEFT JOIN best ON best.page_id = w.page_id AND best.k = w.k AND r = 1
+SELECT w.page_id, w.k, coalesce(j, -1) AS j, block_type, round(shared / total, 4) AS join_iou FROM words w LEFT JOIN best ON best.page_id = w.page_id AND best.k = w.k AND r = 1
 """
 )
 def best_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def best_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = pairs(words, boxes(spark, sf_dir), ("w", "b")).withColumn("iou", G.iou(G.box("w_"), G.box("b_"))).filter("iou > 0")
     best = near.groupBy("page_id", F.col("w_k").alias("k")).agg(F.max_by(F.struct("b_j", "b_block_type", "iou"), F.struct("iou", -F.col("b_j"))).alias("b"))
     out = words.select("page_id", "k").join(best, ["page_id", "k"], "left")
-    return out.select("page_id", "k", F.col("b.b_j").alias("j"), F.col("b.b_block_type").alias("block_type"), F.round("b.iou", 4).alias("join_iou"))
+    return out.select("page_id", "k", F.coalesce("b.b_j", F.lit(-1)).alias("j"), F.col("b.b_block_type").alias("block_type"), F.round("b.iou", 4).alias("join_iou"))
 
 
 @query(
