@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkplane.llm.common import ascii_lower, row_key
+from inkplane.llm.common import ascii_lower, row_key, stored
 
 WINDOW, K = 10, 5
 #: Starts of a segment; a power of two, as places share a 64-bit word with hashes.
@@ -109,6 +109,7 @@ def _grams(n: int) -> Column:
 def summaries(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, key, n_hit, items) of the documents in which windows occur; items as sorted strings."""
     found, members = hits(docs, items, window)
+    found = stored(found, "hits")  # read twice below, and texts are not
     before = Window.partitionBy("doc_id", "key").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("n")
     reach = F.greatest(F.coalesce(F.max(end).over(before), F.lit(0)), F.col("start"))
