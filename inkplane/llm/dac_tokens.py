@@ -37,6 +37,15 @@ SEGMENTS = "part int, seq int, doc_ids array<bigint>, n_ids bigint, content bina
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-;=-@\[-`{-~]+")
 _SIMPLE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-;=-@\[-`{-~]+)+")
 
+#: str.split() also cuts at these; the tokenizer's rules do not.
+_NO_SPACE = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def split(text: str) -> list[str]:
+    """The text's words between white space, as the tokenizer takes it."""
+    return [w for w in _SPACE.split(text) if w] if _NO_SPACE.search(text) else text.split()
+
 
 def pack(ids: np.ndarray, doc_lengths: np.ndarray) -> bytes:
     """A segment: magic, number of documents and levels, lengths, then for each level its size, chunks, bitmap, ranks."""
@@ -132,10 +141,10 @@ class Encoder:
         """The ids of each text and the end id, as little-endian 32-bit integers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        split = [t.split() for t in texts]
-        self.learn(list({w for ws in split for w in ws}.difference(self.known)))
+        words = [split(t) for t in texts]
+        self.learn(list({w for ws in words for w in ws}.difference(self.known)))
         known, end = self.known, struct.pack("<I", END_ID)
-        return [b"".join([known[w] for w in ws]) + end for ws in split]
+        return [b"".join([known[w] for w in ws]) + end for ws in words]
 
 
 def encoder(path: str) -> Encoder:

@@ -11,7 +11,7 @@ WITH sized AS (
 ), placed AS (
   SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY arrival ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seq FROM sized
 ), named AS (
-  SELECT *, '0001-' || lpad(arrival, 8, '0') || '-' || lpad((seq // {shards.ARRIVAL_BYTES})::VARCHAR, 6, '0') AS shard FROM placed
+  SELECT doc_id, n_bytes, seq - min(seq) OVER (PARTITION BY arrival, seq // {shards.ARRIVAL_BYTES}) AS seq, '0001-' || lpad(arrival, 8, '0') || '-' || lpad((seq // {shards.ARRIVAL_BYTES})::VARCHAR, 6, '0') AS shard FROM placed
 ), shards AS (
   SELECT shard, sum(n_bytes)::BIGINT AS total,
     greatest(floor(ln(greatest(sum(n_bytes), 1) / 4096.0) / ln({shards.FANOUT})), 0)::INTEGER AS tier FROM named GROUP BY shard
@@ -19,9 +19,9 @@ WITH sized AS (
   SELECT *, coalesce(sum(total) OVER (PARTITION BY tier ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM shards WHERE total < {shards.TARGET_BYTES}
 ), plan AS (
-  SELECT *, start // {shards.TARGET_BYTES} AS grp, count(*) OVER (PARTITION BY tier, start // {shards.TARGET_BYTES}) AS parts FROM packed
+  SELECT *, start // {shards.TARGET_BYTES} AS grp, count(*) OVER g AS parts, start - min(start) OVER g AS inner_start FROM packed WINDOW g AS (PARTITION BY tier, start // {shards.TARGET_BYTES})
 ), merges AS (
-  SELECT shard AS part, '0002-tier' || lpad(tier::VARCHAR, 2, '0') || '-' || lpad(grp::VARCHAR, 6, '0') AS merged, start FROM plan WHERE parts > 1
+  SELECT shard AS part, '0002-tier' || lpad(tier::VARCHAR, 2, '0') || '-' || lpad(grp::VARCHAR, 6, '0') AS merged, inner_start AS start FROM plan WHERE parts > 1
 ), final AS (
   SELECT doc_id, n_bytes, coalesce(merged, shard) AS shard, (seq + coalesce(start, 0))::BIGINT AS position
   FROM named LEFT JOIN merges ON part = shard

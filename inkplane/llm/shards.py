@@ -86,7 +86,9 @@ class ShardStore:
         )
         before = Window.partitionBy("_arrival").orderBy("_order", "_tie").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("_seq", F.coalesce(F.sum("_bytes").over(before), F.lit(0)))
-        part = F.lpad(F.floor(F.col("_seq") / arrival_bytes).cast("string"), 6, "0")
+        rows = rows.withColumn("_part", F.floor(F.col("_seq") / arrival_bytes))
+        rows = rows.withColumn("_seq", F.col("_seq") - F.min("_seq").over(Window.partitionBy("_arrival", "_part")))
+        part = F.lpad(F.col("_part").cast("string"), 6, "0")
         rows = rows.withColumn("_shard", F.concat(F.lit(f"{base + 1:04d}-"), F.lpad("_arrival", 8, "0"), F.lit("-"), part))
         # The rows of an arrival already stand in one task, so no second shuffle is needed.
         rows = rows.sortWithinPartitions("_shard", "_order", "_tie").select("row", "_seq", "_tie", "_bytes", "_shard")
@@ -102,7 +104,8 @@ class ShardStore:
         before = Window.partitionBy("tier").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         small = small.withColumn("_start", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
         small = small.withColumn("_group", F.floor(F.col("_start") / target_bytes))
-        small = small.withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy("tier", "_group"))).filter("_parts > 1")
+        group = Window.partitionBy("tier", "_group")
+        small = small.withColumn("_parts", F.count(F.lit(1)).over(group)).withColumn("_start", F.col("_start") - F.min("_start").over(group)).filter("_parts > 1")
         merged = F.concat(F.lit(f"{self.version() + 1:04d}-tier"), F.lpad(F.col("tier").cast("string"), 2, "0"), F.lit("-"), F.lpad(F.col("_group").cast("string"), 6, "0"))
         return small.select("shard", "run", merged.alias("merged"), "_start")
 
@@ -131,7 +134,7 @@ class ShardStore:
         """The live rows: row, shard, tier and position, the start of the row in its shard in bytes."""
         data = self.rows(self.manifest(version))
         if data is None:
-            return self.spark.createDataFrame([], T.StructType().add("row", self.schema["row"].dataType).add("shard", "string").add("tier", "int").add("position", "long"))
+            return self.spark.createDataFrame([], T.StructType().add("row", self.schema["row"].dataType).add("shard", "string").add("tier", "integer").add("position", "long"))
         return data.select("row", "shard", "tier", F.col("_seq").alias("position"))
 
 
