@@ -10,6 +10,7 @@ from inkplane.functions import geometry as G
 from inkplane.functions import text as T
 from inkplane.operators import align as A
 from inkplane.operators import layout as L
+from inkplane.operators import sequential as S
 from inkplane.plans.registry import query, table
 from inkplane.sources.fixtures import BOXES, DOC_WORDS, box_words, doc_words
 
@@ -136,3 +137,36 @@ def fuzzy_term_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spans = F.pandas_udf(_spans, "array<struct<start: int, stop: int, ratio: double>>")
     return docs.join(near, "doc_id").select("doc_id", "item_id", F.explode(spans("text", "term")).alias("s")).select("doc_id", "item_id", "s.start", "s.stop", F.round("s.ratio", 4).alias("ratio"))
+
+
+def _labels(lines: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": a, "stop": b, "label": g, "ratio": r} for a, b, g, r in S.label_windows(line.split())] for line in lines])
+
+
+@query(
+    """
+SELECT o_orderkey, line_no, start, stop, label, 1.0::DOUBLE AS ratio FROM orders, (VALUES (1, 0, 1, 'bank'), (2, 0, 2, 'account_number'), (3, 0, 2, 'account_name'), (4, 0, 2, 'account_name'), (4, 2, 4, 'account_number')) v(line_no, start, stop, label)
+"""
+)
+def label_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in the lines of a letter for each order; distinct lines are looked at once."""
+    key = F.lpad(F.col("o_orderkey").cast("string"), 11, "0")
+    forms = [F.lit("Debit dari"), F.lit("Bank : Niaga"), F.concat(F.lit("A/C No : "), key), F.lit("A/C Name : Meridian Zenith"), F.lit("Nama Rekening No Rekening")]
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(F.array(*forms)).alias("line_no", "line"))
+    find = F.pandas_udf(_labels, "array<struct<start: int, stop: int, label: string, ratio: double>>")
+    hits = lines.select("o_orderkey", "line_no", F.explode(find("line")).alias("h"))
+    return hits.select("o_orderkey", "line_no", "h.start", "h.stop", "h.label", F.round("h.ratio", 4).alias("ratio"))
+
+
+@query()
+def spilled_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth word's box as a region, grown by the words beside it in reading order: rows only, as regions change as it goes."""
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x", "k"])
+        mine = pdf[pdf["k"] % 4 == 0]
+        box = lambda r: (r.x, r.y, r.w, r.h)
+        out = S.spilled([box(r) for r in mine.itertuples()], [(box(r), "Name") for r in pdf[pdf["k"] % 4 != 0].itertuples()], str.istitle)
+        return pd.DataFrame({"page_id": mine["page_id"].to_numpy(), "k": mine["k"].to_numpy(), **{n: [int(b[i]) for b in out] for i, n in enumerate("xywh")}})
+
+    return box_words(spark, sf_dir).groupBy("page_id").applyInPandas(grow, "page_id long, k int, x int, y int, w int, h int")

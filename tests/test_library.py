@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import pixels
 from inkplane.functions import text as T
-from inkplane.operators import align, matching
+from inkplane.operators import align, matching, sequential
 from inkplane.sources import files
 from inkplane.streaming import watch
 
@@ -108,3 +108,30 @@ def test_unambiguous_alignment():
     pdf.loc[2, "text"] = "aB"
     out = align.align_page(pdf)
     assert out["text"].tolist() == ["aB", "cd"] and out["agreement"].tolist() == [1.0, 1.0]
+
+
+def test_labels_and_windows():
+    assert sequential.label_windows("A/C Name : PT X A/C N0 1234 Bank BCA".split()) == [(0, 2, "account_name", 1.0), (5, 7, "account_number", 1.0), (8, 9, "bank", 1.0)]
+    assert sequential.label_windows("No Jumlah Nama Rekening Bank No Rekening".split())[0][2] == "account_name"
+    assert sequential.ratio("pt bank", "bank pt") == 1.0 and sequential.ratio("", "x") == 0.0
+    assert sequential.munched([("fund", 0.95), ("fund plus", 0.93), ("fund plus two", 0.8)]) == 1
+
+
+def test_cells_rows_and_tables():
+    cells = [((0, 0, 50, 10), False), ((5, 12, 50, 10), False), ((0, 60, 50, 10), False), ((100, 0, 50, 10), True), ((100, 11, 50, 10), True)]
+    assert sequential.merged_cells(cells) == [0, 0, 2, 3, 4]
+    rows = [[(0, 0, 40, 10)], [(0, 12, 40, 10)], [(0, 40, 40, 10), (300, 40, 40, 10)]]
+    assert sequential.stitched_rows(rows, [(0, 0, 60, 24), (0, 38, 60, 14)]) == [0, 0, 2]
+    assert sequential.matched_tables([(0, 0, 10, 10), (0, 0, 10, 9), (50, 50, 5, 5)], [(0, 0, 10, 10), (1, 0, 10, 10)]) == ([0, 1, None], [])
+    assert sequential.wraps([(0, 0, 90, 10), (0, 20, 20, 10)], True) and not sequential.wraps([(0, 0, 90, 10), (0, 20, 20, 10)], False)
+    assert sequential.wraps([(80, 0, 20, 10), (0, 20, 20, 10)], False) and not sequential.wraps([(0, 0, 9, 9)], True)
+
+
+def test_growth_and_pictures():
+    name = str.istitle
+    grown = sequential.spilled([(0, 0, 50, 10)], [((55, 0, 30, 10), "Life"), ((90, 1, 30, 10), "Plus"), ((200, 0, 9, 10), "Far"), ((122, 0, 9, 10), "low")], name)
+    assert grown == [(0, 0, 120, 11)]
+    assert sequential.spilled([(0, 0, 50, 10)], [((55, 0, 30, 10), "Life")], name, [(0, 0, 52, 12)]) == [(0, 0, 50, 10)]
+    assert sequential.reconciled_picture((0, 0, 100, 100), [(0, 0, 100, 20)], False, 10) == (0, 20, 100, 80)
+    assert sequential.reconciled_picture((0, 0, 100, 100), [(0, 0, 100, 60)], False, 10) is None
+    assert sequential.reconciled_picture((0, 0, 100, 100), [(0, 0, 100, 60)], True, 10) == (0, 0, 100, 100)
