@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import types
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def own_dir() -> str:
+    """A temp folder of this process, for sessions of one machine without a shared folder; it goes with the process."""
+    path = tempfile.mkdtemp(prefix="inkplane-")
+    atexit.register(shutil.rmtree, path, True)
+    return f"file://{path}"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares, or below the temp folder where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/inkplane-shared"
+    """A new folder below the one that the cluster shares, or below a temp folder where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or own_dir()
     return f"{base.rstrip('/')}/inkplane/{name}-{uuid.uuid4().hex}"
 
 
