@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkplane.functions import text as T
@@ -222,17 +222,10 @@ def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("text", F.coalesce("exact", "fuzzy", F.lit(-1)).alias("mapping"), how.alias("how"), F.when(how == "created", T.auto_label(F.col("text"))).alias("new_label"), "hits")
 
 
-def _events(e: str) -> str:
-    return f"SELECT event_id, user_id, event_type, value, ts, {e} FROM events"
-
-
 @query(
     """
-SELECT user_id AS mapping_id, arg_min(event_type, event_id) AS source_text, arg_max(value, event_id) AS hit_count, array_to_string(list_transform(list_sort(list({'f': first, 'p': page})), lambda s: s.p::VARCHAR), ',') AS pages FROM (
-  SELECT user_id, page, min(event_id) AS first, arg_min(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, min(event_id) AS event_id, max(event_id) AS last_id FROM (SELECT *, event_id % 7 AS page FROM events) GROUP BY user_id, page)
-GROUP BY user_id HAVING false
-UNION ALL
-SELECT user_id, arg_min(event_type, event_id), arg_max(value, event_id), (SELECT array_to_string(list(page::VARCHAR ORDER BY f), ',') FROM (SELECT event_id % 7 AS page, min(event_id) AS f FROM events i WHERE i.user_id = o.user_id GROUP BY 1)) FROM events o GROUP BY user_id
+SELECT user_id AS mapping_id, arg_min(event_type, event_id) AS source_text, arg_max(value, event_id) AS hit_count,
+  (SELECT array_to_string(list(page::VARCHAR ORDER BY f), ',') FROM (SELECT event_id % 7 AS page, min(event_id) AS f FROM events i WHERE i.user_id = o.user_id GROUP BY 1)) AS pages FROM events o GROUP BY user_id
 """
 )
 def collapsed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import geometry as G
 from inkplane.operators import layout as L
-from inkplane.plans.registry import query, table
+from inkplane.plans.registry import query
 from inkplane.sources.fixtures import BOXES, box_words, boxes
 
 PAGE_W, PAGE_H = 720, 1100
