@@ -8,12 +8,10 @@ import string
 import zlib
 from collections import defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkplane.llm import components, curriculum, dac_tokens, edit_embedding, lang_crf, quality_gbt, secret_ledger, shards, simhash_pivot, warc, winnow
 from inkplane.llm.common import ascii_lower, count_words, shared_dir
