@@ -30,8 +30,8 @@ from inkplane.llm.common import row_key, shared_dir, stored, worker_cache
 
 MAGIC, CHUNK, BLOCK = b"DAC1", 8, 512
 END_ID = 1
-#: Ids of a segment, but for a longer document; words that a worker remembers the ids of; texts encoded at a time.
-SEGMENT_IDS, REMEMBERED, AT_ONCE = 1 << 20, 300_000, 2048
+#: Ids of a segment, but for a longer document; words that a worker remembers the ids of, and as many older ones; texts encoded at a time.
+SEGMENT_IDS, REMEMBERED, AT_ONCE = 1 << 20, 400_000, 2048
 SEGMENTS = "part int, seq int, doc_ids array<bigint>, n_ids bigint, content binary"
 #: Words that the tokenizer's rules cut at letters, single digits and runs of other signs, and nowhere else.
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-;=-@\[-`{-~]+")
@@ -116,6 +116,7 @@ class Encoder:
         self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def one(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -140,9 +141,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian 32-bit integers."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known  # words that still occur come back from the older half
         words = [split(t) for t in texts]
-        self.learn(list({w for ws in words for w in ws}.difference(self.known)))
+        new = set().union(*words).difference(self.known)
+        self.known.update((w, self.older[w]) for w in new.intersection(self.older))
+        self.learn(list(new.difference(self.older)))
         known, end = self.known, struct.pack("<I", END_ID)
         return [b"".join([known[w] for w in ws]) + end for ws in words]
 
