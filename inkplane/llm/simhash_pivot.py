@@ -10,7 +10,8 @@ discarded, and survivors are verified bit by bit.
 EXACT has 64 bits and a radius of 4. By the pigeonhole principle every pair within the radius shares a key for one of
 its choices of blocks, so no link is lost. WIDE, for pipelines, has 256 bits over shingles of five words, which tell a
 similarity of 0.8 from chance in short documents too; its radius is the distance expected at 0.8 and one standard error
-of it. Its blocks are drawn at random, as many as find all but MISS of the pairs at that distance.
+of it. Its blocks are drawn at random, as many as find all but MISS of the pairs at the expected distance; like_sets
+verifies what they find by true similarity and finds without loss what they miss.
 
 Only distinct fingerprints are compared, and only until a group is known to hang together, so no group is expanded
 into its pairs. Links form components, by rounds over tables.
@@ -74,9 +75,28 @@ def fingerprint(text: str | None, scheme: Scheme = EXACT) -> list[int]:
 
     A bit is 1 if it is set in over half of the shingles' hashes; a text of fewer words is one shingle.
     """
+    return _simhash(_shingles(text, scheme), scheme)
+
+
+def printed(text: str | None, scheme: Scheme) -> tuple[list[int], np.ndarray]:
+    """The fingerprint, and the distinct hashes of the shingles in ascending order."""
+    steps = list(_shingles(text, scheme))
+    return _simhash(iter(steps), scheme), _distinct(steps)
+
+
+def shingle_set(text: str | None, scheme: Scheme) -> np.ndarray:
+    return _distinct(list(_shingles(text, scheme)))
+
+
+def _distinct(steps: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *steps]))
+
+
+def _shingles(text: str | None, scheme: Scheme) -> Iterator[np.ndarray]:
+    """Hashes of the text's shingles, STEP at a time."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return [0] * scheme.words
+        return
     flat, size = b" ".join(parts), scheme.shingle
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = np.concatenate([[0], ends[:-1]])
@@ -85,13 +105,18 @@ def fingerprint(text: str | None, scheme: Scheme = EXACT) -> list[int]:
     else:
         a, b = starts[: len(parts) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros((scheme.words, 64), np.int64)
     for i in range(0, len(a), STEP):
-        h = np.array([digest(flat[x:y], SEED) for x, y in zip(a[i : i + STEP], b[i : i + STEP], strict=True)], dtype="<u8")
+        yield np.array([digest(flat[x:y], SEED) for x, y in zip(a[i : i + STEP], b[i : i + STEP], strict=True)], dtype="<u8")
+
+
+def _simhash(steps: Iterator[np.ndarray], scheme: Scheme) -> list[int]:
+    counts, n = np.zeros((scheme.words, 64), np.int64), 0
+    for h in steps:
+        n += len(h)
         for k in range(scheme.words):
             bits = np.unpackbits((_mixed(h, k) if k else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts[k] += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(counts * 2 > len(a), axis=1, bitorder="little").view("<u8").ravel().tolist()
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
 def node_of(fps: np.ndarray) -> np.ndarray:
@@ -256,8 +281,10 @@ def classes(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
 
 
 def representatives(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id, of the smallest text hash on ties."""
-    found = stored(classes(docs, scheme).select("doc_id", "key", "root"), "classes")
+    """docs with one row of each group of alike texts: that of the smallest doc_id, of the smallest text hash on ties."""
+    from inkplane.llm import like_sets
+
+    found = stored(like_sets.classes(docs, scheme), "classes")
     # One row a component is kept by a minimum, which tasks take before the shuffle.
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("best"))
     other = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))

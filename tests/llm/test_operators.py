@@ -200,6 +200,28 @@ def test_representatives(spark, rows):
     assert simhash_pivot.representatives(only).count() == 1
 
 
+def test_no_pair_of_similarity_four_fifths_is_left(spark):
+    rng = random.Random(8)
+    docs = []
+    for g in range(150):  # pairs just above the least similarity, and some below
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 40, 94, 200, 400]))]
+        other, n = list(words), len(words) - 4
+        changed = n // 9 - (0 if g % 3 else -1 - n // 9)
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other[: len(other) - changed] + [f"x{g}_{i}" for i in range(changed)]))]
+    docs += [(1000 + i, "the same licence line stands in all of these short texts " * 3 + " ".join(f"y{i}_{k}" for k in range(3))) for i in range(60)]
+    sets_ = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in docs for w in [t.split()]}
+    alike = lambda a, b: 5 * len(sets_[a] & sets_[b]) >= 4 * len(sets_[a] | sets_[b])
+    ids = [i for i, _ in docs]
+    pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if alike(a, b)]
+    root = {i: i for i in ids}
+    for a, b in pairs:
+        x, y = sorted((root[a], root[b]))
+        root = {i: x if r == y else r for i, r in root.items()}
+    assert 60 < sum(a < 1000 and b < 1000 for a, b in pairs) < 150
+    kept = simhash_pivot.representatives(make(spark, [(i, t, "s") for i, t in docs])).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root.values()))
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 60)] + [(7, 7), (None, 3)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1000, 1001)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
