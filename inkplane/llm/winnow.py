@@ -92,7 +92,9 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataF
         if small:
             both = marks.join(F.broadcast(side), on)
         else:  # without the words, which join again where a mark was met
-            both = marks.drop("ws").join(side, on).join(segs.select("doc_id", "key", "seg", "ws"), ["key", "seg", "doc_id"])
+            texts = segs.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("seg").alias("_g"), "ws")
+            same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")) & (F.col("seg") == F.col("_g"))
+            both = marks.drop("ws").join(side, on).join(texts, same).drop("_d", "_k", "_g")
         both = both.withColumn("_s", start).filter((F.col("_s") >= 0) & (F.slice(F.col("ws"), F.greatest(F.col("_s"), F.lit(0)) + 1, side["n"]) == F.col("words")))
         both = both.select("doc_id", "key", (F.col("seg") * SEGMENT + F.col("_s")).alias("start"), side["n"].alias("n"), "win").distinct()
         out = both if out is None else out.unionByName(both)

@@ -317,6 +317,16 @@ def test_winnowing(spark, rows, broadcast, monkeypatch):
 # --- op6 and op7
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_winnowing_finds_passages_in_documents_without_id(spark, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(winnow, "BROADCAST_WINDOWS", 0)
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs, items = make(spark, [(None, f"before {passage} after", "s"), (1, "nothing of it", "s")]), spark.createDataFrame([(5, passage)], "item_id bigint, text string")
+    assert {r[0]: r[1] for r in winnow.with_hits(docs, items).select("_row.doc_id", "_n_hit").collect()} == {None: 12, 1: 0}
+    assert [r.doc_id for r in winnow.clean(docs, items).collect()] == [1]
+
+
 def languages(rng, n):
     stems = {"aa": "tion ing the wh ea", "bb": "éau oux ère ché lle", "cc": "sch ung ein ß heit"}
     lang = rng.choice(sorted(stems))
