@@ -52,3 +52,20 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
 def best_of(pairs: DataFrame, payload: list[str], score: Column, order: str) -> DataFrame:
     """The row of the greatest score for each l_id, the smallest ``order`` on ties."""
     return pairs.groupBy("l_id").agg(F.max_by(F.struct(*payload), F.struct(score.alias("s"), (-F.col(order)).alias("o"))).alias("best")).select("l_id", "best.*")
+
+
+def _runs(text: Column) -> Column:
+    return F.split(text, "[^A-Za-z0-9]+")
+
+
+def sharing_a_word(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """(doc_id, item_id, term) of docs(doc_id, text) and terms(item_id, term), the pairs in which the term may occur.
+
+    A term stands in a text as a whole, so its longest run of A-Z, a-z and 0-9 is a run there too, whatever stands
+    around it. Letters that only lower-casing makes plain count either way. Terms without a run meet every text.
+    """
+    longest = F.array_max(F.transform(F.filter(_runs(F.lower("term")), lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    terms = terms.withColumn("word", longest)
+    in_doc = F.array_union(F.transform(_runs(F.col(text)), F.lower), _runs(F.lower(text)))
+    met = docs.select("doc_id", F.explode(in_doc).alias("word")).filter("word <> ''").join(terms, "word").select("doc_id", "item_id", "term")
+    return met.unionByName(docs.select("doc_id").crossJoin(terms.filter("word IS NULL").select("item_id", "term"))).distinct()

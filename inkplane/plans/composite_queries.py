@@ -10,6 +10,7 @@ from inkplane.functions import geometry as G
 from inkplane.functions import text as T
 from inkplane.operators import align as A
 from inkplane.operators import layout as L
+from inkplane.operators import matching as M
 from inkplane.operators import sequential as S
 from inkplane.plans.registry import query, table
 from inkplane.sources.fixtures import BOXES, DOC_WORDS, box_words, doc_words
@@ -91,11 +92,8 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known terms in the pages' texts, with their words, boxes, padded boxes, labels and scores."""
     words = doc_words(spark, sf_dir)
     terms = table(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("term"))
-    longest = F.array_max(F.transform(F.filter(F.split(F.lower("term"), r"\s+"), lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    terms = terms.withColumn("word", F.regexp_replace(longest["w"], r"^\W+|\W+$", ""))
     pages = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(F.split("text", "[ \n]"), lambda w: w != ""), " ").alias("merged"))
-    in_page = F.array_distinct(F.transform(F.split(F.lower("merged"), r"\s+"), lambda w: F.regexp_replace(w, r"^\W+|\W+$", "")))
-    near = pages.select("doc_id", F.explode(in_page).alias("word")).join(terms, "word").select("doc_id", "item_id", "term")
+    near = M.sharing_a_word(pages, "merged", terms)
     spans = pages.join(near, "doc_id").select("doc_id", "item_id", "term", F.explode(T.term_spans(F.col("merged"), T.term_pattern(F.col("term")))).alias("s")).select("doc_id", "item_id", "term", "s.start", "s.stop")
     size = words.groupBy("doc_id").agg(F.max(F.col("x") + F.col("w")).alias("page_w"), F.max(F.col("y") + F.col("h")).alias("page_h"))
     mine = spans.join(words, (spans["doc_id"] == words["doc_id"]) & (words["char_start"] < spans["stop"]) & (words["char_end"] > spans["start"])).drop(words["doc_id"])

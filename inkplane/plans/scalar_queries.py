@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import text as T
 from inkplane.functions import vocab as V
+from inkplane.operators import matching as M
 from inkplane.plans.registry import query, table
 from inkplane.sources.fixtures import DOC_WORDS, NAMES, names
 
@@ -228,14 +229,10 @@ def term_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_term_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents meet terms on the term's rarest-looking whole word, so no pair is tried without a shared word."""
+    """Documents meet terms on the term's longest word, so no pair is tried without a shared word."""
     terms = table(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("term"))
-    word = F.array_max(F.transform(F.regexp_extract_all(F.lower("term"), F.lit(r"[^\s]+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    inner = F.regexp_replace(word["w"], r"^\W+|\W+$", "")
-    terms = terms.withColumn("word", inner)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    in_doc = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^\W+|\W+$", "")))
-    cand = docs.select("doc_id", F.explode(in_doc).alias("word")).join(terms, "word").select("doc_id", "item_id", "term")
+    cand = M.sharing_a_word(docs, "text", terms)
     met = docs.join(cand, "doc_id")
     spans = T.term_spans(F.col("text"), T.term_pattern(F.col("term")))
     return met.select("doc_id", "item_id", "term", F.explode(spans).alias("s")).select("doc_id", "item_id", "term", "s.start", "s.stop")

@@ -135,3 +135,13 @@ def test_growth_and_pictures():
     assert sequential.reconciled_picture((0, 0, 100, 100), [(0, 0, 100, 20)], False, 10) == (0, 20, 100, 80)
     assert sequential.reconciled_picture((0, 0, 100, 100), [(0, 0, 100, 60)], False, 10) is None
     assert sequential.reconciled_picture((0, 0, 100, 100), [(0, 0, 100, 60)], True, 10) == (0, 0, 100, 100)
+
+
+def test_terms_are_found_beside_inner_punctuation(spark, tmp_path):
+    from inkplane.plans import scalar_queries
+
+    texts = [(1, "pre-information retrieval is a field"), (2, "The end.Information retrieval is a/field"), (3, "misinformation retrieval is a field"), (4, "so ¿? ¡! … – it says")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "information retrieval is a thing"), (8, "¿? ¡! … – it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = scalar_queries.term_spans(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, 7, 4, 30), (2, 7, 8, 34), (4, 8, 3, 12)]
