@@ -89,7 +89,7 @@ class ShardStore:
         rows = rows.withColumn("_part", F.floor(F.col("_seq") / arrival_bytes))
         rows = rows.withColumn("_seq", F.col("_seq") - F.min("_seq").over(Window.partitionBy("_arrival", "_part")))
         part = F.lpad(F.col("_part").cast("string"), 6, "0")
-        rows = rows.withColumn("_shard", F.concat(F.lit(f"{base + 1:04d}-"), F.lpad("_arrival", 8, "0"), F.lit("-"), part))
+        rows = rows.withColumn("_shard", F.concat(F.lit(f"{base + 1:04d}-"), F.lpad("_arrival", F.greatest(F.length("_arrival"), F.lit(8)), F.lit("0")), F.lit("-"), part))
         # The rows of an arrival already stand in one task, so no second shuffle is needed.
         rows = rows.sortWithinPartitions("_shard", "_order", "_tie").select("row", "_seq", "_tie", "_bytes", "_shard")
         return self.commit(self.manifest(base).unionByName(self.write(rows, f"append-{base + 1:08d}")), base)

@@ -117,6 +117,13 @@ def test_shards(spark, rows):
 # --- op3
 
 
+def test_arrivals_of_long_names_stay_apart(spark):
+    docs = make(spark, [(10**12 + 1000 * i, "text", "s") for i in range(3)])
+    store = shards.ShardStore(spark, shared_dir(spark, "shards"), docs.schema)
+    store.append(docs, F.floor(F.col("doc_id") / 1000), [F.col("doc_id")])
+    assert sorted(r.n_rows for r in store.manifest().collect()) == [1, 1, 1]
+
+
 def brute_print(text, size=4):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
