@@ -8,8 +8,8 @@ Payloads are equal if their SHA-1 digests are. Of equal payloads of at least ``l
 page_id is written whole, the others as revisits that name it.
 
 Defined results: a null html is an empty payload; a null url is left out of the header; a null page_id is written as
-such and is the smallest; of repeated rows with the smallest page_id, one is the response; an empty table gives no
-files; columns besides page_id, url and html are not written.
+such and is the smallest; rows that share the smallest page_id are all responses, as no row tells them apart; an empty
+table gives no files; columns besides page_id, url and html are not written.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from inkplane.llm.common import shared_dir, stored
 MAGIC, START = b"\x1f\x8b\x08", b"WARC/1."
 #: Bytes of payload of a file at about most, and of a split.
 FILE_BYTES, SPLIT_BYTES = 64 << 20, 4 << 20
+#: Tasks that splits are dealt to at most; below that, there is one for each split.
+MOST_TASKS = 100_000
 #: Bytes read at a time.
 STEP = 1 << 20
 #: The date of every record; a crawl would give its own.
@@ -191,7 +193,11 @@ def splits(archives: DataFrame, size: int = SPLIT_BYTES) -> DataFrame:
 
 
 def read(archives: DataFrame, path: str, size: int = SPLIT_BYTES) -> DataFrame:
-    """RECORDS of archives(file, n_bytes), by splits. Ranges are dealt out by a hash, the bytes go to no shuffle."""
+    """RECORDS of archives(file, n_bytes), by splits.
+
+    Ranges are dealt out by a hash to a stated number of tasks, as Spark, which sees the few bytes of the ranges and not
+    those of the archives, would put them in one. The archives' bytes go to no shuffle.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -215,10 +221,11 @@ def read(archives: DataFrame, path: str, size: int = SPLIT_BYTES) -> DataFrame:
                         out.append((page(head["warc-record-id"]), size_, sha, kind, page(head.get("warc-refers-to"))))
                 if out:
                     table = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                    yield table.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    ids = {c: pd.array([x[k] for x in out], dtype="Int64") for c, k in (("page_id", 0), ("refers_to", 4))}  # not by way of floats
+                    yield table.assign(**ids)
 
-    dealt = splits(archives, size)
-    return dealt.repartition("file", "start").mapInPandas(rows, RECORDS)
+    tasks = archives.select(F.sum(F.ceil(F.col("n_bytes") / size))).first()[0] or 1
+    return splits(archives, size).repartition(min(int(tasks), MOST_TASKS), "file", "start").mapInPandas(rows, RECORDS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
