@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from inkplane.llm import shards
 
+
+
+def _zeros(name: str, least: int) -> str:
+    return f"lpad({name}, greatest({least}, length({name}))::INT, '0')"
+
+
 OP2 = f"""
 WITH sized AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
-    coalesce(CAST(floor(doc_id / {shards.ARRIVAL_IDS}) AS BIGINT)::VARCHAR, 'none') AS arrival FROM documents
+    coalesce(CAST(floor(doc_id / {shards.ARRIVAL_IDS}) AS BIGINT)::VARCHAR, 'none' || left(md5(coalesce(text, '')), 4)) AS arrival FROM documents
 ), placed AS (
   SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY arrival ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seq FROM sized
 ), named AS (
-  SELECT doc_id, n_bytes, seq - min(seq) OVER (PARTITION BY arrival, seq // {shards.ARRIVAL_BYTES}) AS seq, '0001-' || lpad(arrival, 8, '0') || '-' || lpad((seq // {shards.ARRIVAL_BYTES})::VARCHAR, 6, '0') AS shard FROM placed
+  SELECT doc_id, n_bytes, seq - min(seq) OVER (PARTITION BY arrival, seq // {shards.ARRIVAL_BYTES}) AS seq, '0001-' || {_zeros("arrival", 8)} || '-' || {_zeros(f"(seq // {shards.ARRIVAL_BYTES})::VARCHAR", 6)} AS shard FROM placed
 ), shards AS (
   SELECT shard, sum(n_bytes)::BIGINT AS total,
     greatest(floor(ln(greatest(sum(n_bytes), 1) / 4096.0) / ln({shards.FANOUT})), 0)::INTEGER AS tier FROM named GROUP BY shard
@@ -21,7 +27,7 @@ WITH sized AS (
 ), plan AS (
   SELECT *, start // {shards.TARGET_BYTES} AS grp, count(*) OVER g AS parts, start - min(start) OVER g AS inner_start FROM packed WINDOW g AS (PARTITION BY tier, start // {shards.TARGET_BYTES})
 ), merges AS (
-  SELECT shard AS part, '0002-tier' || lpad(tier::VARCHAR, 2, '0') || '-' || lpad(grp::VARCHAR, 6, '0') AS merged, inner_start AS start FROM plan WHERE parts > 1
+  SELECT shard AS part, '0002-tier' || {_zeros("tier::VARCHAR", 2)} || '-' || {_zeros("grp::VARCHAR", 6)} AS merged, inner_start AS start FROM plan WHERE parts > 1
 ), final AS (
   SELECT doc_id, n_bytes, coalesce(merged, shard) AS shard, (seq + coalesce(start, 0))::BIGINT AS position
   FROM named LEFT JOIN merges ON part = shard

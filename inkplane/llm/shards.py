@@ -5,7 +5,8 @@ fall into tiers of similar size, runs within a tier are packed to target-sized g
 one new file. Old shards stay as they are; a new manifest version, committed by one atomic rename, names the live ones.
 All data moves through built-in functions; the driver only renames the folder of a finished manifest.
 
-Defined results: a null text counts 0 bytes; a null id is an arrival of its own; repeated rows stay repeated; an empty
+Defined results: a null text counts 0 bytes; rows without id arrive by a hash of their text, as many may lack one, and
+stand by that hash; repeated rows stay repeated; an empty
 table gives a manifest without shards; further columns are stored as they are, names of working columns included.
 """
 
@@ -80,16 +81,16 @@ class ShardStore:
     def append(self, docs: DataFrame, arrival: Column, order: list[Column], arrival_bytes: int = ARRIVAL_BYTES) -> int:
         """Add docs as immutable shards: each arrival, in the given order, cut where arrival_bytes are full."""
         base = self.version()
+        none = F.concat(F.lit("none"), F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 4))
         rows = docs.select(
-            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(arrival.cast("string"), F.lit("none")).alias("_arrival"),
+            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(arrival.cast("string"), none).alias("_arrival"),
             F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes"), row_key(F.col("text")).alias("_tie"), F.struct(*order).alias("_order"),
         )
         before = Window.partitionBy("_arrival").orderBy("_order", "_tie").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("_seq", F.coalesce(F.sum("_bytes").over(before), F.lit(0)))
         rows = rows.withColumn("_part", F.floor(F.col("_seq") / arrival_bytes))
         rows = rows.withColumn("_seq", F.col("_seq") - F.min("_seq").over(Window.partitionBy("_arrival", "_part")))
-        part = F.lpad(F.col("_part").cast("string"), 6, "0")
-        rows = rows.withColumn("_shard", F.concat(F.lit(f"{base + 1:04d}-"), F.lpad("_arrival", F.greatest(F.length("_arrival"), F.lit(8)), F.lit("0")), F.lit("-"), part))
+        rows = rows.withColumn("_shard", F.concat(F.lit(f"{base + 1:04d}-"), zeros(F.col("_arrival"), 8), F.lit("-"), zeros(F.col("_part"), 6)))
         # The rows of an arrival already stand in one task, so no second shuffle is needed.
         rows = rows.sortWithinPartitions("_shard", "_order", "_tie").select("row", "_seq", "_tie", "_bytes", "_shard")
         return self.commit(self.manifest(base).unionByName(self.write(rows, f"append-{base + 1:08d}")), base)
@@ -106,7 +107,7 @@ class ShardStore:
         small = small.withColumn("_group", F.floor(F.col("_start") / target_bytes))
         group = Window.partitionBy("tier", "_group")
         small = small.withColumn("_parts", F.count(F.lit(1)).over(group)).withColumn("_start", F.col("_start") - F.min("_start").over(group)).filter("_parts > 1")
-        merged = F.concat(F.lit(f"{self.version() + 1:04d}-tier"), F.lpad(F.col("tier").cast("string"), 2, "0"), F.lit("-"), F.lpad(F.col("_group").cast("string"), 6, "0"))
+        merged = F.concat(F.lit(f"{self.version() + 1:04d}-tier"), zeros(F.col("tier"), 2), F.lit("-"), zeros(F.col("_group"), 6))
         return small.select("shard", "run", merged.alias("merged"), "_start")
 
     def compact(self, target_bytes: int = TARGET_BYTES) -> int:
@@ -138,6 +139,12 @@ class ShardStore:
         return data.select("row", "shard", "tier", F.col("_seq").alias("position"))
 
 
+def zeros(name: Column, least: int) -> Column:
+    """The name with zeros before it up to ``least`` characters; a longer one stays whole."""
+    text = name.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(least)), F.lit("0"))
+
+
 def tier(n_bytes: Column) -> Column:
     """Power of FANOUT of a size in units of 4096 bytes."""
     return F.greatest(F.floor(F.log(float(FANOUT), F.greatest(n_bytes, F.lit(1)) / 4096.0)), F.lit(0)).cast("int")
