@@ -15,6 +15,7 @@ doc_id, null first, and of a hash of the text within an id; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,15 +99,28 @@ def likeness(a: str, b: str) -> float:
 RANGE_ROWS, RANGES = 500, 100_000
 
 
+def range_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are at the value or below, -1 for null: found among every so many, then near there."""
+    if not cuts:
+        return F.when(value.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+    step = math.isqrt(len(cuts)) + 1
+    every, coarse = F.lit(cuts).cast("array<bigint>"), F.lit(cuts[::step]).cast("array<bigint>")
+    first = F.greatest(F.size(F.filter(coarse, lambda c: c <= value)) - 1, F.lit(0)) * step
+    near = F.size(F.filter(F.slice(every, first + 1, F.lit(step)), lambda c: c <= value))
+    return F.when(value.isNull(), F.lit(-1)).otherwise(first + near).cast("long")
+
+
 def in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text, _key, _block) with _block ascending by doc_id; and the text that follows each block, (_for, _after).
 
-    Ids are cut into ranges of equal width. Each range's first row is looked up and handed to the range before it, so
-    no task orders the whole table. The lookup is broadcast: it has RANGES + 2 rows of some 50 bytes at most.
+    Ids are cut into ranges at their quantiles, so ranges hold about as many rows each whatever the ids are. Each range's
+    first row is looked up and handed to the range before it, so no task orders the whole table. The lookup is
+    broadcast: it has RANGES + 2 rows of some 50 bytes at most.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, (high - low + 1) * max(RANGE_ROWS, n // RANGES) // n) if n else 1
-    block = F.coalesce(F.floor((F.col("doc_id") - (low or 0)) / width).cast("long"), F.lit(-1))
+    n = docs.agg(F.count("doc_id")).first()[0]
+    ranges = min(max(n // RANGE_ROWS, 1), RANGES)
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] if ranges > 1 and n else []
+    block = range_of(F.col("doc_id"), sorted(set(cuts)))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row_key(F.col("text")).alias("_key"), block.alias("_block"))
     heads = rows.groupBy("_block").agg(F.min(F.struct("doc_id", "_key")).alias("_head"))
     ahead = Window.orderBy("_block")  # one row a range
@@ -144,7 +158,8 @@ def compared(docs: DataFrame) -> DataFrame:
                     out.append((None if old_id == "" else int(old_id), len(old), sha, a, b, likeness(a, b), likeness(a, c)))
                 held = None if end else (doc_id, text, kept, whole)
             if out:
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64"})
+                table = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+                yield table.assign(doc_id=pd.array([x[0] for x in out], dtype="Int64"))  # not by way of floats
 
     rows = all_rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text", "_end")
     return rows.mapInPandas(compare, schema)
