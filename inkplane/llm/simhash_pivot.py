@@ -1,17 +1,19 @@
 """SimHash near-duplicates by pivot distance tables.
 
 A fingerprint's row in the table holds its Hamming distances to many reference fingerprints. Distances obey the triangle
-inequality: no pair within the radius differs in a coordinate by more than the radius. Blocks of bits obey it on their
-own: pairs that agree on a block have equal distances, over that block, to every reference. So rows are keyed by their
-coordinates over a choice of blocks, to the references that tell all values of those blocks apart, which are the bits
-of the blocks themselves. Within a key, pairs whose coordinates over all bits differ by more than the radius are
-discarded, and survivors are verified bit by bit.
-
-EXACT has 64 bits and a radius of 4. By the pigeonhole principle every pair within the radius shares a key for one of
-its choices of blocks, so no link is lost. WIDE, for pipelines, has 256 bits over shingles of five words, which tell a
-similarity of 0.8 from chance in short documents too; its radius is the distance expected at 0.8 and one standard error
-of it. Its blocks are drawn at random, as many as find all but MISS of the pairs at the expected distance; like_sets
-verifies what they find by true similarity and finds without loss what they miss.
+inequality: no pair within the radius differs in a coordinate by more than the radius. Over all bits the distances of
+unlike fingerprints are much the same, so coordinates alone would leave a share of all pairs; the table therefore keeps
+each distance in parts, one for each block of bits, and the inequality holds for each part too.
+
+EXACT has 64 bits and a radius of 4, and radius + r blocks. A pair within the radius has a distance of 0 over r of them
+at least, so its coordinates over some choice of r blocks differ by 0: fingerprints are joined on their coordinates over
+each choice, and no link is lost. Of the pairs that meet, those whose coordinates over all bits differ by more than the
+radius are discarded, and survivors are verified bit by bit.
+
+WIDE, for pipelines, has 256 bits over shingles of five words, which tell a similarity of 0.8 from chance in short
+documents too; its radius is the distance expected at 0.8 and one standard error of it. Its blocks are single bits, on
+which a distance is the bit itself, and its choices are drawn at random, as many as find all but MISS of the pairs at
+the expected distance; like_sets verifies what they find by true similarity and finds without loss what they miss.
 
 Only distinct fingerprints are compared, and only until a group is known to hang together, so no group is expanded
 into its pairs. Links form components, by rounds over tables.
@@ -38,6 +40,8 @@ SEED = 42
 MISS = 0.02
 #: Shingles hashed and counted at a time.
 STEP = 1 << 15
+#: References whose distances over a block are joined on: a distance has four bits, as a block has 15 bits at most.
+JOINED = 16
 #: Groups of a key up to this size are compared pair by pair, all groups of a batch at once.
 SMALL = 32
 
@@ -140,8 +144,8 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     return docs.select("doc_id", row_key(F.col("text")).alias("key"), simhash("text").alias("p")).select("doc_id", "key", "p.fp", "p.node")
 
 
-def exact_choices(n: int, scheme: Scheme) -> list[list[int]]:
-    """Choices of blocks, as lists of bits, for n fingerprints: pairs within the radius agree on r of radius + r blocks.
+def exact_blocks(n: int, scheme: Scheme) -> tuple[list[list[int]], list[tuple[int, ...]]]:
+    """Blocks, as lists of bits, and choices of them for n fingerprints: pairs within the radius agree on some choice.
 
     More blocks make longer keys, so that chance leaves few pairs in a key however many there are, for more choices.
     """
@@ -149,9 +153,22 @@ def exact_choices(n: int, scheme: Scheme) -> list[list[int]]:
     for agree in range(1, 5):
         total = scheme.radius + agree
         edges = [round(bits * k / total) for k in range(total + 1)]
-        out = [[b for k in pick for b in range(edges[k], edges[k + 1])] for pick in combinations(range(total), agree)]
-        if n <= 2 ** (min(map(len, out)) + 1):
+        blocks, choices = [list(range(edges[k], edges[k + 1])) for k in range(total)], list(combinations(range(total), agree))
+        if n <= 2 ** (min(sum(len(blocks[k]) for k in pick) for pick in choices) + 1):
             break
+    return blocks, choices
+
+
+def coordinates(fp: Column, bits: list[int], references: np.ndarray) -> Column:
+    """The distances of a word to the first JOINED references over a block of bits, four bits each, as one long."""
+
+    def signed(x: int) -> Column:
+        return F.lit(x - (1 << 64) if x >> 63 else x)
+
+    mask = sum(1 << b for b in bits)
+    out = F.lit(0).cast("long")
+    for k, r in enumerate(references[:JOINED, 0].tolist()):
+        out = out.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseAND(signed(mask)).bitwiseXOR(signed(r & mask))).cast("long"), 4 * k))
     return out
 
 
@@ -164,13 +181,13 @@ def drawn_choices(n: int, scheme: Scheme) -> list[list[int]]:
 
 
 def block_key(fp: Column, bits: list[int], words: int) -> Column:
-    """The coordinates over these bits: the bits in place, hashed where they are of several words."""
+    """The coordinates over single bits: the bits in place, hashed over all words."""
 
     def part(k: int) -> Column:
         mask = sum(1 << b - 64 * k for b in bits if 64 * k <= b < 64 * k + 64)
         return F.get(fp, F.lit(k)).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
-    return part(0) if words == 1 else F.xxhash64(*[part(k) for k in range(words)])
+    return F.xxhash64(*[part(k) for k in range(words)])
 
 
 def distances(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
@@ -234,10 +251,15 @@ def key_links(choice: np.ndarray, block: np.ndarray, fps: np.ndarray, scheme: Sc
 
 def linked(prints: DataFrame, n: int, scheme: Scheme = EXACT) -> DataFrame:
     """Links (a, b) between nodes of the distinct fingerprints prints(fp) that span what all links would join."""
-    choices = (exact_choices if scheme.words == 1 else drawn_choices)(n, scheme)
-    keys = F.array(*[F.struct(F.lit(k).alias("choice"), block_key(F.col("fp"), bits, scheme.words).alias("block")) for k, bits in enumerate(choices)])
+    if scheme.words == 1:
+        blocks, choices = exact_blocks(n, scheme)
+        rows = prints.select("fp", *[coordinates(F.get("fp", F.lit(0)), bits, scheme.references).alias(f"c{k}") for k, bits in enumerate(blocks)])
+        values = [F.col(f"c{pick[0]}") if len(pick) == 1 else F.xxhash64(*[f"c{k}" for k in pick]) for pick in choices]
+    else:
+        rows, values = prints, [block_key(F.col("fp"), bits, scheme.words) for bits in drawn_choices(n, scheme)]
+    keys = F.array(*[F.struct(F.lit(k).alias("choice"), v.alias("block")) for k, v in enumerate(values)])
     words = [F.get("fp", F.lit(k)).alias(f"f{k}") for k in range(scheme.words)]
-    rows = prints.select("fp", F.explode(keys).alias("k")).select("k.choice", "k.block", *words)
+    rows = rows.select("fp", F.explode(keys).alias("k")).select("k.choice", "k.block", *words)
     # A key's fingerprints go to one task: they are distinct, a few longs each, and copies count once.
     rows = rows.repartition("choice", "block").sortWithinPartitions("choice", "block", *[f"f{k}" for k in range(scheme.words)])
 
@@ -275,8 +297,9 @@ def classes(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     distinct = stored(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(linked(distinct, distinct.count(), scheme))
     named = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = named.join(best, "root").select("node", "root", "component_id")
+    # Written, so that both sides of each join are plain tables, of which large classes are split.
+    best = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
+    members = stored(named.join(best, "root").select("node", "root", "component_id"), "members")
     return prints.join(members, "node").select("doc_id", "key", "fp", "root", "component_id")
 
 
@@ -286,7 +309,9 @@ def representatives(docs: DataFrame, scheme: Scheme = WIDE) -> DataFrame:
 
     found = stored(like_sets.classes(docs, scheme), "classes")
     # One row a component is kept by a minimum, which tasks take before the shuffle.
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("best"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("best"), F.count(F.lit(1)).alias("n"))
+    # Written, so that both sides of the join are plain tables, of which large classes are split.
+    best = stored(best.filter("n > 1").drop("n"), "best-rows")
     other = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))
     gone = found.join(best, "root").filter(other).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), row_key(F.col("text")).alias("_key"))
