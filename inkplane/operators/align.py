@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 ALIGNED = "page_id long, cluster int, text string, x int, y int, w int, h int, conf double, agreement double, engines string"
 
 
+#: Width of the strips in which overlapping boxes are looked for.
+BAND = 200
+
+
 def _iou(a, b) -> float:
     w, h = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
     if w <= 0 or h <= 0:
@@ -22,23 +26,27 @@ def align_page(words: pd.DataFrame, least: float = 0.5, prefer: str = "tesseract
     In the order of y, x and input, a reading joins the first cluster whose first member it overlaps enough, unless the
     box around both is wider than 1.5 upper-median widths; else it opens a cluster. A cluster's text is its most
     frequent one: on ties that of the preferred engine if it has exactly one of them, else that of highest confidence.
-    Only clusters that start above a reading's lower edge and end below its upper edge are looked at.
+    Only clusters that start above a reading's lower edge and end below its upper edge, in the BAND px wide strips that
+    the reading touches, are looked at.
     """
     words = words.sort_values("seq", kind="stable")
     total = words["engine"].nunique()
     cap = int(1.5 * np.sort(words["w"].to_numpy())[len(words) // 2])
     clusters: list[list] = []
-    open_: list[int] = []  # clusters whose first member may still be reached from below
+    strips: dict[int, list[int]] = {}  # clusters whose first member may still be reached from below, by strip
     for r in words.sort_values(["y", "x"], kind="stable").itertuples():
         b = (r.x, r.y, r.w, r.h)
-        open_ = [k for k in open_ if clusters[k][0].y + clusters[k][0].h > r.y]
-        for k in open_:
+        mine = range(int(r.x // BAND), int((r.x + r.w) // BAND) + 1)
+        for s in mine:
+            strips[s] = [k for k in strips.get(s, ()) if clusters[k][0].y + clusters[k][0].h > r.y]
+        for k in sorted({k for s in mine for k in strips[s]}):
             f = clusters[k][0]
             if _iou(b, (f.x, f.y, f.w, f.h)) >= least and max(r.x + r.w, f.x + f.w) - min(r.x, f.x) <= cap:
                 clusters[k].append(r)
                 break
         else:
-            open_.append(len(clusters))
+            for s in mine:
+                strips[s].append(len(clusters))
             clusters.append([r])
     out = []
     for k, rs in enumerate(clusters):
@@ -88,24 +96,32 @@ def _lcs(masks: dict[str, int], n: int, text: str) -> int:
     return n - v.bit_count()
 
 
-def fuzzy_spans(text: str, term: str, least: float = 0.9, rounds: int = 10) -> list[tuple[int, int, float]]:
+def lowered(text: str) -> str:
+    """Lower case, character by character where it would change the text's length, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def fuzzy_spans(text: str, term: str, least: float = 0.9, rounds: int = 10, starts: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """(start, stop, ratio) of places that read almost like a term of eight characters or more.
 
     In each round the window of the term's length with the highest ratio, the first on ties, is taken if it reaches
     ``least``; cut inward to word boundaries; kept if its length is within 30 % of the term's; and masked in any case.
+    ``starts``, if given, are the windows to look at, in order: all that may reach ``least``.
     """
-    low, want, out = text.lower(), term.lower(), []
+    low, want, out = lowered(text), lowered(term), []
     n = len(want)
-    if n < 8 or len(low) != len(text):
+    if n < 8 or not low:
         return out
     masks: dict[str, int] = {}
     for i, ch in enumerate(want):
         masks[ch] = masks.get(ch, 0) | 1 << i
     page = list(low)
     size, cache = min(n, len(page)), {}
+    places = range(len(page) - size + 1) if starts is None else starts.tolist()
     for _ in range(rounds):
         best, at = 0.0, -1
-        for i in range(len(page) - size + 1):
+        for i in places:
             if i not in cache:
                 # Characters in common bound the ratio from above, so most windows are passed over.
                 window = page[i : i + size]
@@ -127,3 +143,76 @@ def fuzzy_spans(text: str, term: str, least: float = 0.9, rounds: int = 10) -> l
         for i in range(max(0, at - size + 1), at + size):
             cache.pop(i, None)
     return out
+
+
+#: Characters of a piece by which windows are found, and terms looked for in one pass over the texts.
+PIECE, TERMS_AT_ONCE = 3, 20_000
+
+
+class TermIndex:
+    """Finds the windows of a text that may read like a term, for many terms in one pass over the text.
+
+    A window of a term's length n, or a whole shorter text, of ratio ``least`` or more is (1 - least) * 2n edits away
+    at most. The term is cut into pieces of PIECE characters: each edit spoils one at most, so all others stand in the
+    window, moved by no more than the edits. Windows near which so many pieces are met are candidates; none is lost.
+    """
+
+    def __init__(self, terms: list[str], least: float = 0.9):
+        self.least, self.terms = least, [lowered(t) for t in terms]
+        self.pieces: dict[str, list[tuple[int, int]]] = {}
+        for k, t in enumerate(self.terms):
+            if len(t) >= 8:
+                for at in range(0, len(t) - PIECE + 1, PIECE):
+                    self.pieces.setdefault(t[at : at + PIECE], []).append((k, at))
+
+    def starts(self, text: str) -> dict[int, np.ndarray]:
+        """For each term that may stand in the text, the first characters of its candidate windows, ascending."""
+        low, met = lowered(text), {}
+        for i in range(len(low) - PIECE + 1):
+            for k, at in self.pieces.get(low[i : i + PIECE], ()):
+                met.setdefault(k, []).append(i - at)
+        out = {}
+        for k, places in met.items():
+            n = len(self.terms[k])
+            edits, last = int(2 * (1 - self.least) * n + 1e-9), max(len(low) - n, 0)
+            need = n // PIECE - edits
+            if len(places) < need:
+                continue
+            at = np.array(places)
+            first, stop = np.maximum(at - edits, 0), np.minimum(at + edits, last) + 1
+            ok = first < stop
+            near = np.zeros(last + 2, np.int64)
+            np.add.at(near, first[ok], 1)
+            np.add.at(near, stop[ok], -1)
+            found = np.flatnonzero(np.cumsum(near)[: last + 1] >= need)
+            if len(found):
+                out[k] = found
+        return out
+
+
+def fuzzy_terms(docs: DataFrame, terms: DataFrame, least: float = 0.9) -> DataFrame:
+    """(doc_id, item_id, start, stop, ratio) of places in docs(doc_id, text) that read almost like terms(item_id, term).
+
+    Texts are scanned once for every TERMS_AT_ONCE distinct terms, which bounds what is shipped to the tasks. Null and
+    empty texts and terms, and terms below eight characters, are found nowhere.
+    """
+    spark, out = docs.sparkSession, None
+    distinct = [r.term for r in terms.filter("term IS NOT NULL").select("term").distinct().orderBy("term").toLocalIterator()]
+    for k in range(0, max(len(distinct), 1), TERMS_AT_ONCE):
+        index = spark.sparkContext.broadcast(TermIndex(distinct[k : k + TERMS_AT_ONCE], least))
+        found = docs.mapInPandas(_scan(index, distinct[k : k + TERMS_AT_ONCE], least), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, start int, stop int, ratio double")
+        out = found if out is None else out.unionByName(found)
+    return out.join(terms.select("item_id", "term"), "term").select("doc_id", "item_id", "start", "stop", "ratio")
+
+
+def _scan(index, terms: list[str], least: float):
+    def scan(batches):
+        for batch in batches:
+            rows = []
+            for i, text in enumerate(batch["text"]):
+                for k, starts in index.value.starts(text or "").items():
+                    rows += [(i, terms[k], a, b, r) for a, b, r in fuzzy_spans(text, terms[k], least, starts=starts)]
+            at = [r[0] for r in rows]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at].to_numpy(), "term": [r[1] for r in rows], "start": [r[2] for r in rows], "stop": [r[3] for r in rows], "ratio": [r[4] for r in rows]})
+
+    return scan

@@ -17,8 +17,8 @@ from inkplane.sources.fixtures import BOXES, DOC_WORDS, box_words, doc_words
 
 
 def engine_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third token of each document, set apart, as three engines read it."""
-    w = doc_words(spark, sf_dir).filter("word_idx % 3 = 0").select(F.col("doc_id").alias("page_id"), F.col("word_idx").alias("seq"), "text", "x", "y", "w", "h", "conf")
+    """The words of each document as three engines read them."""
+    w = doc_words(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.col("word_idx").alias("seq"), "text", "x", "y", "w", "h", "conf")
     k = F.col("seq")
     rapid = w.withColumn("engine", F.lit("rapidocr"))
     tess = w.filter("seq % 11 <> 0").withColumn("x", (F.col("x") + k % 3).cast("int")).withColumn("conf", F.col("conf") - 0.02).withColumn("engine", F.lit("tesseract"))
@@ -32,11 +32,12 @@ def engine_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH {DOC_WORDS}, base AS (SELECT doc_id AS page_id, word_idx AS seq, text, x, y, w, h, conf FROM doc_words WHERE word_idx % 3 = 0
+WITH {DOC_WORDS}, base AS (SELECT doc_id AS page_id, word_idx AS seq, text, x, y, w, h, conf FROM doc_words
 ), readings AS (
   SELECT *, 'rapidocr' AS engine, 0 AS e FROM base UNION ALL SELECT page_id, seq, text, (x + seq % 3)::INT, y, w, h, conf - 0.02, 'tesseract', 1 FROM base WHERE seq % 11 <> 0
   UNION ALL SELECT page_id, seq, CASE WHEN seq % 7 = 0 THEN regexp_replace(text, '^([^o]*)o', '\\10') ELSE text END, x, (y + seq % 2)::INT, w, h, conf - 0.04, 'easyocr', 2 FROM base
-), capped AS (SELECT *, trunc(1.5 * list_sort(list(w) OVER (PARTITION BY page_id))[(count(*) OVER (PARTITION BY page_id)) // 2 + 1])::INT AS cap, len(list_distinct(list(engine) OVER (PARTITION BY page_id))) AS total FROM readings
+), caps AS (SELECT page_id, trunc(1.5 * list_sort(list(w))[count(*) // 2 + 1])::INT AS cap FROM readings GROUP BY page_id
+), capped AS (SELECT * FROM readings JOIN caps USING (page_id)
 ), grouped AS (SELECT *, CASE WHEN CASE engine WHEN 'tesseract' THEN w + seq % 3 ELSE w END > cap THEN engine ELSE 'all' END AS grp FROM capped)
 SELECT page_id, count(*) AS n_words, sum(CASE WHEN n_engines > 1 THEN 1 ELSE 0 END)::BIGINT AS n_agreed, sum(x)::BIGINT AS sum_x, sum(w)::BIGINT AS sum_w FROM (
   SELECT page_id, seq, grp, count(*) AS n_engines, min(x) AS x, max(x + w) - min(x) AS w FROM grouped GROUP BY page_id, seq, grp) GROUP BY page_id
@@ -118,23 +119,11 @@ def redaction_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("pages"), F.min("doc_id").alias("first_page"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-def _spans(text: pd.Series, term: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": a, "stop": b, "ratio": r} for a, b, r in A.fuzzy_spans(t, q)] for t, q in zip(text, term, strict=True)])
-
-
 @query()
 def fuzzy_term_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places in the documents that read almost like the first four words of a benchmark item: rows only, as the kernel masks as it goes.
-
-    A document and a term meet if they share a word of six characters or more.
-    """
+    """Places in the documents that read almost like the first four words of a benchmark item: rows only, as the kernel masks as it goes."""
     terms = table(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("term"))
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) >= 6))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    near = docs.select("doc_id", F.explode(words("text")).alias("word")).join(terms.select("item_id", "term", F.explode(words("term")).alias("word")), "word").select("doc_id", "item_id", "term").distinct()
-
-    spans = F.pandas_udf(_spans, "array<struct<start: int, stop: int, ratio: double>>")
-    return docs.join(near, "doc_id").select("doc_id", "item_id", F.explode(spans("text", "term")).alias("s")).select("doc_id", "item_id", "s.start", "s.stop", F.round("s.ratio", 4).alias("ratio"))
+    return A.fuzzy_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), terms).withColumn("ratio", F.round("ratio", 4))
 
 
 def _labels(lines: pd.Series) -> pd.Series:

@@ -183,8 +183,8 @@ def merged_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH rows AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE replace(p_name, ' ', ' - ') || '.' END AS source_text, CASE WHEN p_partkey % 4 = 0 THEN 'Client-0000' || p_partkey ELSE 'Name ' || p_partkey END AS mock_value FROM part
-), keyed AS (SELECT *, trim(regexp_replace(lower(source_text), '[^a-z0-9]+', ' ', 'g')) AS key, regexp_full_match(mock_value, 'Client-0{4,}[0-9]+') AS placeholder FROM rows)
+WITH rows AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE replace(p_name, ' ', ' - ') || '.' END AS source_text, CASE WHEN p_partkey % 4 = 0 THEN 'Client-00000' || p_partkey ELSE 'Name ' || p_partkey END AS mock_value FROM part
+), keyed AS (SELECT *, trim(regexp_replace(lower(source_text), '[^a-z0-9]+', ' ', 'g')) AS key, regexp_full_match(mock_value, 'Client-0{5,}[0-9]+') AS placeholder FROM rows)
 SELECT key, arg_min(source_text, placeholder::INT * 1e12 + p_partkey) AS source_text, arg_min(mock_value, placeholder::INT * 1e12 + p_partkey) AS mock_value, count(*) AS n_rows, min(placeholder) = max(placeholder) AND count(*) > 1 AS needs_review FROM keyed GROUP BY key
 """
 )
@@ -192,9 +192,9 @@ def deduplicated_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mapping for each loose key, real values before placeholders, and whether a person should look."""
     k, name = F.col("p_partkey"), F.col("p_name")
     text = F.when(k % 3 == 0, name).when(k % 3 == 1, F.upper(name)).otherwise(F.concat(F.replace(name, F.lit(" "), F.lit(" - ")), F.lit(".")))
-    mock = F.when(k % 4 == 0, F.concat(F.lit("Client-0000"), k.cast("string"))).otherwise(F.concat(F.lit("Name "), k.cast("string")))
+    mock = F.when(k % 4 == 0, F.concat(F.lit("Client-00000"), k.cast("string"))).otherwise(F.concat(F.lit("Name "), k.cast("string")))
     rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("source_text"), mock.alias("mock_value"))
-    rows = rows.withColumn("key", T.loose_key(F.col("source_text"))).withColumn("placeholder", F.col("mock_value").rlike("^Client-0{4,}[0-9]+$"))
+    rows = rows.withColumn("key", T.loose_key(F.col("source_text"))).withColumn("placeholder", F.col("mock_value").rlike("^Client-0{5,}[0-9]+$"))
     order = F.struct("placeholder", "p_partkey")
     n = F.count(F.lit(1))
     return rows.groupBy("key").agg(F.min_by("source_text", order).alias("source_text"), F.min_by("mock_value", order).alias("mock_value"), n.alias("n_rows"), ((F.min("placeholder") == F.max("placeholder")) & (n > 1)).alias("needs_review"))
@@ -203,9 +203,9 @@ def deduplicated_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH {_LIKE}, best AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY ratio DESC, id) AS n FROM scored WHERE ratio >= CASE assignment_source WHEN 'user' THEN 0.90 ELSE 0.85 END
-), met AS (SELECT r.text, b.id, b.ratio FROM readings r LEFT JOIN best b ON b.text = r.text AND n = 1)
-SELECT text, coalesce(max(id), -1) AS mapping, CASE WHEN max(ratio) = 1 AND text IN (SELECT text FROM terms) THEN 'exact' WHEN max(id) IS NOT NULL THEN 'fuzzy' ELSE 'created' END AS how,
-  CASE WHEN max(id) IS NULL THEN 'MOCK_' || upper(substr(sha256('MOCK' || chr(31) || text), 1, 6)) END AS new_label, count(*) AS hits FROM met GROUP BY text
+), met AS (SELECT r.text, e.id AS exact, b.id AS fuzzy FROM readings r LEFT JOIN terms e ON e.text = r.text LEFT JOIN best b ON b.text = r.text AND n = 1)
+SELECT text, coalesce(max(exact), max(fuzzy), -1) AS mapping, CASE WHEN max(exact) IS NOT NULL THEN 'exact' WHEN max(fuzzy) IS NOT NULL THEN 'fuzzy' ELSE 'created' END AS how,
+  CASE WHEN max(exact) IS NULL AND max(fuzzy) IS NULL THEN 'MOCK_' || upper(substr(sha256('MOCK' || chr(31) || text), 1, 6)) END AS new_label, count(*) AS hits FROM met GROUP BY text
 """
 )
 def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +243,7 @@ WITH votes AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN lpad((u
 ), top AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS r, sum(n) OVER (PARTITION BY user_id) AS total FROM counted
 ), scored AS (SELECT t.user_id, t.text, t.n / t.total AS agreement, regexp_full_match(t.text, '[0-9]{9}') AND substr(t.text, 1, 3) NOT IN ('000', '666') AND substr(t.text, 1, 3) < '900' AS valid,
   (SELECT avg(conf) FROM votes v WHERE v.user_id = t.user_id) AS conf FROM top t WHERE r = 1)
-SELECT user_id, CASE WHEN valid OR agreement >= 0.67 THEN text END AS value, round(0.5 * agreement + 0.3 * valid::INT + 0.2 * conf, 6) AS score FROM scored
+SELECT user_id, CASE WHEN valid OR agreement >= 0.67 THEN text END AS value, round(0.5 * agreement + 0.3 * valid::INT + 0.2 * conf, 4) AS score FROM scored
 """
 )
 def consensus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +253,7 @@ def consensus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = counted.groupBy("user_id").agg(F.max_by("text", F.struct("n", -F.col("first"))).alias("text"), (F.max("n") / F.sum("n")).alias("agreement"), (F.sum("c") / F.sum("n")).alias("conf"))
     valid = F.col("text").rlike("^[0-9]{9}$") & T.is_valid(F.lit("SSN"), F.col("text"))
     score = 0.5 * F.col("agreement") + 0.3 * valid.cast("int") + 0.2 * F.col("conf")
-    return out.select("user_id", F.when(valid | (F.col("agreement") >= 0.67), F.col("text")).alias("value"), F.round(score, 6).alias("score"))
+    return out.select("user_id", F.when(valid | (F.col("agreement") >= 0.67), F.col("text")).alias("value"), F.round(score, 4).alias("score"))
 
 
 @query(

@@ -80,11 +80,15 @@ _MARK, _DEBIT, _CREDIT = "of", "and", "the"
 
 @query(
     f"""
-WITH {DOC_WORDS}, low AS (SELECT doc_id, word_idx, text, lower(regexp_replace(text, '[^A-Za-z0-9/]', '', 'g')) AS t FROM doc_words
-), looked AS (
-  SELECT *, list(text) OVER (PARTITION BY doc_id ORDER BY word_idx ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS ahead,
-    max(CASE WHEN t IN ('{_DEBIT}', '{_CREDIT}') THEN word_idx END) OVER (PARTITION BY doc_id ORDER BY word_idx ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS at FROM low
-), marked AS (SELECT l.doc_id, l.word_idx, l.ahead, b.t AS back FROM looked l LEFT JOIN low b ON b.doc_id = l.doc_id AND b.word_idx = l.at WHERE l.t = '{_MARK}'
+WITH {DOC_WORDS}, low AS MATERIALIZED (SELECT doc_id, word_idx, text, lower(regexp_replace(text, '[^A-Za-z0-9/]', '', 'g')) AS t FROM doc_words
+), marks AS MATERIALIZED (SELECT doc_id, word_idx FROM low WHERE t = '{_MARK}'
+), after AS (
+  SELECT m.doc_id, m.word_idx, list(l.text ORDER BY l.word_idx) AS ahead
+  FROM (SELECT doc_id, word_idx, word_idx + unnest(range(1, 9)) AS at FROM marks) m JOIN low l ON l.doc_id = m.doc_id AND l.word_idx = m.at GROUP BY ALL
+), before AS (
+  SELECT m.doc_id, m.word_idx, arg_max(l.t, l.word_idx) AS back
+  FROM (SELECT doc_id, word_idx, word_idx - unnest(range(1, 16)) AS at FROM marks) m JOIN low l ON l.doc_id = m.doc_id AND l.word_idx = m.at WHERE l.t IN ('{_DEBIT}', '{_CREDIT}') GROUP BY ALL
+), marked AS (SELECT doc_id, word_idx, ahead, back FROM after LEFT JOIN before USING (doc_id, word_idx)
 ), ended AS (SELECT *, coalesce(list_min(list_filter(range(1, len(ahead) + 1), lambda i: regexp_matches(ahead[i], '[.,;:]$') OR regexp_matches(ahead[i], '^[0-9]'))), len(ahead) + 1) AS stop FROM marked)
 SELECT doc_id, word_idx, array_to_string(ahead[1:CASE WHEN stop <= len(ahead) AND NOT regexp_matches(ahead[stop], '^[0-9]') THEN stop ELSE stop - 1 END], ' ') AS name_text,
   CASE back WHEN '{_DEBIT}' THEN 'debit_account_name' WHEN '{_CREDIT}' THEN 'credit_account_name' ELSE 'counterparty_org' END AS field_role, 0.75 AS confidence
@@ -93,19 +97,7 @@ FROM ended WHERE len(ahead) > 0
 )
 def prose_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names after a marker in prose: up to eight tokens to the end of a clause; the role from the nearest word before."""
-    words = doc_words(spark, sf_dir).select("doc_id", "word_idx", "text").withColumn("t", F.lower(F.regexp_replace("text", "[^A-Za-z0-9/]", "")))
-    back = Window.partitionBy("doc_id").orderBy("word_idx").rowsBetween(-15, -1)
-    looked = words.withColumn("ahead", L.following("text", 8)).withColumn("back", F.last(F.when(F.col("t").isin(_DEBIT, _CREDIT), F.col("t")), ignorenulls=True).over(back))
-    looked = looked.filter((F.col("t") == _MARK) & (F.size("ahead") > 0))
-
-    def take(state: Column, w: Column) -> Column:
-        number, ends = w.rlike("^[0-9]"), w.rlike("[.,;:]$")
-        out = F.when(~state["done"] & ~number, F.array_append(state["out"], w)).otherwise(state["out"])
-        return F.struct((state["done"] | number | ends).alias("done"), out.alias("out"))
-
-    names = F.aggregate("ahead", F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("out")), take, lambda s: s["out"])
-    role = F.when(F.col("back") == _DEBIT, "debit_account_name").when(F.col("back") == _CREDIT, "credit_account_name").otherwise("counterparty_org")
-    return looked.select("doc_id", "word_idx", F.array_join(names, " ").alias("name_text"), role.alias("field_role"), F.lit(0.75).alias("confidence"))
+    return L.prose_names(doc_words(spark, sf_dir), {_MARK: None}, {_DEBIT: "debit_account_name", _CREDIT: "credit_account_name"}).drop("marker")
 
 
 _JOB = " OR ".join(f"contains(lower(row_text), '{w}')" for w in (*V.JOB_TITLE_WORDS, *V.SIGNATURE_CLOSERS))
@@ -233,11 +225,7 @@ SELECT doc_id, line_no, n AS n_words, coalesce(last_value(label IGNORE NULLS) OV
 )
 def label_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The section each line stands in: short lines with a section word set it for those below."""
-    t = F.lower(F.regexp_replace("text", "[^A-Za-z0-9]", ""))
-    lines = doc_words(spark, sf_dir).groupBy("doc_id", "line_no").agg(F.max(t == _DEBIT).alias("d"), F.max(t == _CREDIT).alias("c"), F.count(F.lit(1)).alias("n_words"))
-    label = F.when(F.col("n_words") <= 6, F.when(F.col("d"), "debit").when(F.col("c"), "credit"))
-    carried = F.last(label, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return lines.select("doc_id", "line_no", "n_words", F.coalesce(carried, F.lit("none")).alias("section"))
+    return L.sections(doc_words(spark, sf_dir), {"debit": (_DEBIT,), "credit": (_CREDIT,)})
 
 
 @query(

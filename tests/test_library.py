@@ -1,5 +1,7 @@
 """Streams, files, kernels and operators that decide in order."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import pixels
 from inkplane.functions import text as T
-from inkplane.operators import align, matching, sequential
+from inkplane.operators import align, layout, matching, sequential
 from inkplane.sources import files
 from inkplane.streaming import watch
 
@@ -102,6 +104,41 @@ def test_fuzzy_spans_and_rows():
     assert align.row_clusters(words) == [[0, 1], [3, 2]]
 
 
+def test_term_index_loses_no_fuzzy_span(spark):
+    rng = random.Random(7)
+    letters = "abcde fgh"
+    terms = ["".join(rng.choice(letters) for _ in range(n)).strip() or "x" for n in (7, 8, 9, 10, 11, 14, 15, 19, 20, 25, 33, 60) for _ in range(3)]
+    texts = [None, "", "short", "ab" * 4]
+    for _ in range(250):
+        parts = []
+        for _ in range(4):
+            t = list(rng.choice(terms))
+            for _ in range(rng.randrange(0, 3)):
+                if t:
+                    t[rng.randrange(len(t))] = rng.choice(["", "z", "qq"])
+            parts += ["".join(t), "".join(rng.choice(letters) for _ in range(rng.randrange(0, 30)))]
+        texts.append("".join(parts) + ("\u0130" if rng.random() < 0.2 else ""))
+    want = [(i, t, *s) for i, x in enumerate(texts) for t in set(terms) for s in align.fuzzy_spans(x or "", t)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(t, t) for t in set(terms)] + [(None, None)], "item_id string, term string")
+    got = [tuple(r) for r in align.fuzzy_terms(docs, items).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_prose_with_markers_of_their_own(spark):
+    text = "dari PT Satu a/n PT Dua, ke Bank a/n Tiga 12 kepada Yth Empat Lima; a/n"
+    words = spark.createDataFrame([(1, k, w) for k, w in enumerate(text.split())] + [(2, 0, None)], "doc_id long, word_idx int, text string")
+    got = layout.prose_names(words, {"a/n": None, "kepada": "counterparty_org"}, {"dari": "debit_account_name", "ke": "credit_account_name"}).orderBy("word_idx").collect()
+    assert [(r.marker, r.name_text, r.field_role) for r in got] == [("a/n", "PT Dua,", "debit_account_name"), ("a/n", "Tiga", "credit_account_name"), ("kepada", "Yth Empat Lima;", "counterparty_org")]
+
+
+def test_sections_by_phrases(spark):
+    lines = ["Debit dari", "PT Satu", "Kredit ke :", "Bank Dua", "debit dari the long line of many more words"]
+    words = spark.createDataFrame([(1, n, w) for n, line in enumerate(lines) for w in line.split()], "doc_id long, line_no int, text string")
+    got = layout.sections(words, {"debit": ("debit dari", "debit"), "credit": ("kredit ke",)}).orderBy("line_no").collect()
+    assert [r.section for r in got] == ["debit", "debit", "credit", "credit", "credit"]
+
+
 def test_unambiguous_alignment():
     rows = [(1, e, n * 10 + k, t, x, 0, 30, 10, c) for n, (e, c) in enumerate((("rapidocr", 0.9), ("tesseract", 0.8))) for k, (t, x) in enumerate((("ab", 0), ("cd", 60)))]
     pdf = pd.DataFrame(rows, columns=["page_id", "engine", "seq", "text", "x", "y", "w", "h", "conf"])
