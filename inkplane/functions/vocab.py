@@ -7,6 +7,11 @@ ACCOUNT_NUMBER_LABELS = ("a/c no", "account no", "account number", "no rekening"
 DEBIT_SECTION_LABELS = ("debit dari", "debit rekening", "debit", "from the following account", "please transfer from the following account")
 CREDIT_SECTION_LABELS = ("kredit ke", "kredit rekening", "kredit", "credit", "to the following account")
 ADDRESSEE_LABELS = ("kepada", "to", "attn", "up")
+PROSE_MARKERS = ("a/n", "atas nama")
+FIELD_ROLES = ("debit_account_name", "credit_account_name", "counterparty_org", "bank_name", "signatory_person")
+ENTITY_TYPES = ("ORGANIZATION", "PERSON", "CUSTOM", "KNOWN_TERM", "KNOWN_TERM_FUZZY", "BRAND_FOOTER", "BRAND_IMAGE", "SIGNATURE")
+SERIF_HINTS = ("times", "georgia", "garamond", "serif", "cambria", "palatino", "minion", "book antiqua", "century", "cardo")
+PLACEHOLDER = r"^Client-0{5,}[0-9]+$"
 SIGNATURE_CLOSERS = ("hormat kami", "authorized by", "acknowledged by", "yours sincerely", "demikian")
 JOB_TITLE_WORDS = ("head", "manager", "division", "department", "director", "officer", "operations", "authorized", "acknowledged", "sincerely")
 ORG_PREFIXES = ("pt", "pt.", "cv", "bank", "insurance", "life", "custody", "corp", "ltd", "inc", "asuransi")

@@ -44,11 +44,29 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
         for ch in y:
             m = masks.get(ch, 0)
             v = ((v + (v & m)) | (v & ~m)) & full
-        return 2.0 * (len(x) - v.bit_count()) / (len(x) + len(y))
+        return 2.0 * (len(x) - v.bit_count()) / (len(x) + len(y)) if x or y else 0.0
 
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    """The Indel ratio of both sides' sorted words; 0 where one is blank or null."""
+    x, y = T.sorted_tokens(F.coalesce(a, F.lit(""))), T.sorted_tokens(F.coalesce(b, F.lit("")))
+    return F.when((x != "") & (y != ""), F.pandas_udf(_ratios, "double")(x, y)).otherwise(F.lit(0.0))
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """1 where the words of one side, some of which are common, all stand on the other; else the best ratio among the
+    common words and these with what either side has besides; 0 where one side is blank or null."""
+    x, y = (F.array_distinct(T.tokens(F.coalesce(c, F.lit("")))) for c in (a, b))
+    text = lambda c: F.array_join(F.array_sort(c), " ")
+    common = text(F.array_intersect(x, y))
+    more = [F.trim(F.concat_ws(" ", common, text(F.array_except(p, q)))) for p, q in ((x, y), (y, x))]
+    ratio = F.pandas_udf(_ratios, "double")
+    best = F.greatest(ratio(more[0], more[1]), *[F.when(common != "", ratio(common, m)).otherwise(F.lit(0.0)) for m in more])
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when(T.is_token_subset(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))), F.lit(1.0)).otherwise(best)
+
+
 def best_of(pairs: DataFrame, payload: list[str], score: Column, order: str) -> DataFrame:
     """The row of the greatest score for each l_id, the smallest ``order`` on ties."""
     return pairs.groupBy("l_id").agg(F.max_by(F.struct(*payload), F.struct(score.alias("s"), (-F.col(order)).alias("o"))).alias("best")).select("l_id", "best.*")

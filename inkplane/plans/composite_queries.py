@@ -11,6 +11,7 @@ from inkplane.functions import text as T
 from inkplane.operators import align as A
 from inkplane.operators import layout as L
 from inkplane.operators import matching as M
+from inkplane.operators import pages as P
 from inkplane.operators import sequential as S
 from inkplane.plans.registry import query, table
 from inkplane.sources.fixtures import BOXES, DOC_WORDS, box_words, doc_words
@@ -62,14 +63,8 @@ SELECT page_id, c.k AS k, c.start AS start, c.stop AS stop FROM (SELECT page_id,
 )
 def claimed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that stay when, longest first, each is dropped that overlaps one taken before."""
-    rows = box_words(spark, sf_dir).select("page_id", F.struct((-F.col("w")).alias("o"), "k", F.col("x").alias("start"), (F.col("x") + F.col("w")).alias("stop")).alias("s"))
-    pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list("s")).alias("ss"))
-
-    def keep(acc, s):
-        clash = F.exists(acc, lambda o: (o["start"] < s["stop"]) & (o["stop"] > s["start"]))
-        return F.when(clash, acc).otherwise(F.array_append(acc, s))
-
-    return pages.select("page_id", F.explode(F.aggregate("ss", F.slice("ss", 1, 0), keep)).alias("s")).select("page_id", "s.k", "s.start", "s.stop")
+    rows = box_words(spark, sf_dir).withColumns({"start": F.col("x"), "stop": F.col("x") + F.col("w")})
+    return P.claims(rows, [-F.col("w"), F.col("k")], "start", "stop", "k")
 
 
 _PLAN = f"""

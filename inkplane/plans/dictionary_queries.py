@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import text as T
 from inkplane.functions import vocab as V
+from inkplane.operators import dictionary as D
 from inkplane.operators import matching as M
 from inkplane.plans.registry import query, table
 from inkplane.sources.fixtures import NAMES, names
@@ -61,11 +62,7 @@ SELECT r.id, ok.id AS mapping, round(ratio, 4) AS ratio FROM readings r JOIN ok
 )
 def fuzzy_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best dictionary name of each reading, over the threshold of how the name was assigned; the first on ties."""
-    known = terms(spark, sf_dir)
-    pairs = M.near_names(readings(spark, sf_dir), known, V.AUTO_RATIO).join(known.select(F.col("id").alias("r_id"), "assignment_source"), "r_id")
-    least = F.when(F.col("assignment_source") == "user", V.USER_RATIO).otherwise(V.AUTO_RATIO)
-    best = M.best_of(pairs.filter(F.col("ratio") >= least), ["r_id", "ratio"], F.col("ratio"), "r_id")
-    return best.select(F.col("l_id").alias("id"), F.col("r_id").alias("mapping"), F.round("ratio", 4).alias("ratio"))
+    return D.fuzzy(readings(spark, sf_dir), terms(spark, sf_dir)).withColumn("ratio", F.round("ratio", 4))
 
 
 @query(f"WITH {_LIKE} SELECT r.id, round(max(ratio), 4) AS best_score FROM readings r JOIN scored s USING (text) WHERE ratio >= 0.6 GROUP BY r.id")
@@ -89,13 +86,8 @@ SELECT r.id, t.id AS mapping, round(t.ratio, 4) AS ratio FROM readings r JOIN to
 def unambiguous_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best name of each reading where it leads by 0.1 all names but those whose words contain, or lie in, its own."""
     distinct = readings(spark, sf_dir).groupBy("text").agg(F.min("id").alias("id"))
-    pairs = M.near_names(distinct, terms(spark, sf_dir), V.UNAMBIGUOUS_RATIO)
-    best = M.best_of(pairs, ["l_text", "r_id", "r_text", "ratio"], F.col("ratio"), "r_id").select("l_id", "l_text", F.col("r_id").alias("mapping"), F.col("r_text").alias("winner"), F.col("ratio").alias("top"))
-    rivals = pairs.join(best.select("l_id", "mapping", "winner"), "l_id").filter((F.col("r_id") != F.col("mapping")) & ~T.is_token_subset(F.col("r_text"), F.col("winner")))
-    second = rivals.groupBy("l_id").agg(F.max("ratio").alias("second"))
-    clear = best.join(second, "l_id", "left").filter(F.round(F.col("top") - F.coalesce("second", F.lit(0.0)), 9) >= V.UNAMBIGUOUS_MARGIN)
-    out = readings(spark, sf_dir).join(clear, F.col("text") == F.col("l_text"))
-    return out.select("id", "mapping", F.round("top", 4).alias("ratio"))
+    clear = D.unambiguous(distinct, terms(spark, sf_dir)).join(distinct, "id").drop("id")
+    return readings(spark, sf_dir).join(clear, "text").select("id", "mapping", F.round("ratio", 4).alias("ratio"))
 
 
 @query(
@@ -112,15 +104,7 @@ def prefix_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     Names meet on their least frequent word, so a word that all share brings nobody together.
     """
     base = terms(spark, sf_dir).select("id", "text")
-    items = base.union(base.filter("id % 3 = 0").select(F.col("id") + 100000000, F.concat("text", F.lit(" plus")))).union(base.filter("id % 7 = 0").select(F.col("id") + 200000000, F.concat("text", F.lit(" - fund"))))
-    words = items.select("id", "text", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rare = words.join(counts, "word").groupBy("id", "text").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
-    # The smaller of two word sets is found by its rarest word among all words of the larger.
-    a, b = rare.select(F.col("id").alias("s_id"), F.col("text").alias("s"), "word"), words.select(F.col("id").alias("b_id"), F.col("text").alias("b"), "word")
-    inside = F.size(F.array_except(T.tokens(F.col("s")), T.tokens(F.col("b")))) == 0
-    pairs = a.join(b, "word").filter((F.col("s_id") != F.col("b_id")) & (F.col("s") != F.col("b")) & inside & ~T.is_family_pair(F.col("s"), F.col("b")))
-    return pairs.select(F.least("s_id", "b_id").alias("a_id"), F.greatest("s_id", "b_id").alias("b_id")).distinct()
+    return D.collisions(base.union(base.filter("id % 3 = 0").select(F.col("id") + 100000000, F.concat("text", F.lit(" plus")))).union(base.filter("id % 7 = 0").select(F.col("id") + 200000000, F.concat("text", F.lit(" - fund")))))
 
 
 _IMPORT = f"""{NAMES}, dict AS (SELECT trim(lower(source_text)) AS norm FROM names WHERE ord % 3 = 0
@@ -135,14 +119,10 @@ _IMPORT = f"""{NAMES}, dict AS (SELECT trim(lower(source_text)) AS norm FROM nam
 def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import rows with blanks and repeats, and the reason for which each is refused, null if it is taken."""
     every = names(spark, sf_dir)
-    known = every.filter("ord % 3 = 0").select(T.normalized(F.col("source_text")).alias("norm")).distinct().withColumn("known", F.lit(True))
+    known = every.filter("ord % 3 = 0").select(T.normalized(F.col("source_text")).alias("norm"))
     first = every.select("ord", F.lit(0).alias("part"), F.when(F.col("ord") % 11 == 0, " ").otherwise(F.col("source_text")).alias("source_text"), F.when(F.col("ord") % 13 == 0, "").otherwise(F.col("mock_value")).alias("mock_value"))
     rows = first.unionByName(every.filter("ord % 5 = 0").select("ord", F.lit(1).alias("part"), F.upper("source_text").alias("source_text"), "mock_value"))
-    rows = rows.withColumn("norm", T.normalized(F.col("source_text"))).join(known, "norm", "left")
-    reason = F.when(F.trim("source_text") == "", "missing_source_text").when(F.trim("mock_value") == "", "missing_mock_value").when(F.col("known"), "existing_mapping")
-    rows = rows.withColumn("reason", reason)
-    nth = F.row_number().over(Window.partitionBy("norm", F.col("reason").isNull()).orderBy("ord", "part"))
-    return rows.withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(nth > 1, "existing_mapping"))
+    return D.judged_imports(rows, known, ["ord", "part"])
 
 
 @query(f"WITH {_IMPORT} SELECT source_text, mock_value, 'map_' || substr(sha256(norm), 1, 8) AS mapping_id FROM reasoned WHERE reason IS NULL")
@@ -173,12 +153,7 @@ def merged_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("ord") % 4 == 0, "delete").when(F.col("ord") % 4 == 1, "override").otherwise("insert")
     changes = cur.filter("ord % 3 = 0").select("ord", op.alias("op"), F.concat("mock_value", F.lit("-new")).alias("new_value"))
     changes = changes.union(cur.filter("ord % 10 = 0").select(F.col("ord") + 5000000000, F.lit("insert"), "mock_value")).union(cur.filter("ord % 50 = 0").select(F.col("ord") + 6000000000, F.lit("override"), "mock_value"))
-    m = cur.withColumn("here", F.lit(True)).join(changes, "ord", "full")
-    here, o = F.col("here").isNotNull(), F.col("op")
-    value = F.when(o == "delete", F.lit(None)).when(o.isNotNull() & (here | (o == "insert")), F.col("new_value")).otherwise(F.col("mock_value"))
-    outcome = F.when(o.isNull(), "kept").when(~here & (o != "insert"), "not_found").when(o == "delete", "deleted").when(~here, "created").otherwise("updated")
-    source = F.when(o.isNotNull() & (o != "delete"), "user").otherwise(F.col("assignment_source"))
-    return m.select("ord", value.alias("mock_value"), outcome.alias("outcome"), source.alias("assignment_source"))
+    return D.merged(cur, changes, "ord")
 
 
 @query(
@@ -194,10 +169,7 @@ def deduplicated_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(k % 3 == 0, name).when(k % 3 == 1, F.upper(name)).otherwise(F.concat(F.replace(name, F.lit(" "), F.lit(" - ")), F.lit(".")))
     mock = F.when(k % 4 == 0, F.concat(F.lit("Client-00000"), k.cast("string"))).otherwise(F.concat(F.lit("Name "), k.cast("string")))
     rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("source_text"), mock.alias("mock_value"))
-    rows = rows.withColumn("key", T.loose_key(F.col("source_text"))).withColumn("placeholder", F.col("mock_value").rlike("^Client-0{5,}[0-9]+$"))
-    order = F.struct("placeholder", "p_partkey")
-    n = F.count(F.lit(1))
-    return rows.groupBy("key").agg(F.min_by("source_text", order).alias("source_text"), F.min_by("mock_value", order).alias("mock_value"), n.alias("n_rows"), ((F.min("placeholder") == F.max("placeholder")) & (n > 1)).alias("needs_review"))
+    return D.deduplicated(rows, "p_partkey")
 
 
 @query(
@@ -210,16 +182,7 @@ SELECT text, coalesce(max(exact), max(fuzzy), -1) AS mapping, CASE WHEN max(exac
 )
 def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct reading resolved against a frozen dictionary: exactly, by likeness, or as a new label; with its hits."""
-    known = terms(spark, sf_dir)
-    read = readings(spark, sf_dir).groupBy("text").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("hits"))
-    exact = read.join(known.select("text", F.col("id").alias("exact")), "text", "left")
-    rest = exact.filter("exact is null").select("id", "text")
-    pairs = M.near_names(rest, known, V.AUTO_RATIO).join(known.select(F.col("id").alias("r_id"), "assignment_source"), "r_id")
-    pairs = pairs.filter(F.col("ratio") >= F.when(F.col("assignment_source") == "user", V.USER_RATIO).otherwise(V.AUTO_RATIO))
-    best = M.best_of(pairs, ["r_id"], F.col("ratio"), "r_id").select(F.col("l_id").alias("id"), F.col("r_id").alias("fuzzy"))
-    out = exact.join(best, "id", "left")
-    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("fuzzy").isNotNull(), "fuzzy").otherwise("created")
-    return out.select("text", F.coalesce("exact", "fuzzy", F.lit(-1)).alias("mapping"), how.alias("how"), F.when(how == "created", T.auto_label(F.col("text"))).alias("new_label"), "hits")
+    return D.resolve(readings(spark, sf_dir), terms(spark, sf_dir))
 
 
 @query(
@@ -243,17 +206,13 @@ WITH votes AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN lpad((u
 ), top AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS r, sum(n) OVER (PARTITION BY user_id) AS total FROM counted
 ), scored AS (SELECT t.user_id, t.text, t.n / t.total AS agreement, regexp_full_match(t.text, '[0-9]{9}') AND substr(t.text, 1, 3) NOT IN ('000', '666') AND substr(t.text, 1, 3) < '900' AS valid,
   (SELECT avg(conf) FROM votes v WHERE v.user_id = t.user_id) AS conf FROM top t WHERE r = 1)
-SELECT user_id, CASE WHEN valid OR agreement >= 0.67 THEN text END AS value, round(0.5 * agreement + 0.3 * valid::INT + 0.2 * conf, 4) AS score FROM scored
+SELECT user_id, CASE WHEN valid OR agreement >= 0.67 THEN regexp_replace(text, '^([0-9]{3})([0-9]{2})([0-9]{4})$', '\\1-\\2-\\3') END AS value, round(0.5 * agreement + 0.3 * valid::INT + 0.2 * conf, 4) AS score FROM scored
 """
 )
 def consensus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent reading of each group, the first on ties, emitted if valid or agreed on by two thirds."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.lpad((F.col("user_id") * 7919 % 1000000000).cast("string"), 9, "0")).otherwise(F.col("event_type")).alias("text"), (F.col("value") / 100).alias("conf"))
-    counted = e.groupBy("user_id", "text").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.sum("conf").alias("c"))
-    out = counted.groupBy("user_id").agg(F.max_by("text", F.struct("n", -F.col("first"))).alias("text"), (F.max("n") / F.sum("n")).alias("agreement"), (F.sum("c") / F.sum("n")).alias("conf"))
-    valid = F.col("text").rlike("^[0-9]{9}$") & T.is_valid(F.lit("SSN"), F.col("text"))
-    score = 0.5 * F.col("agreement") + 0.3 * valid.cast("int") + 0.2 * F.col("conf")
-    return out.select("user_id", F.when(valid | (F.col("agreement") >= 0.67), F.col("text")).alias("value"), F.round(score, 4).alias("score"))
+    return D.voted(e, "user_id", "event_id", F.lit("SSN"))
 
 
 @query(
@@ -312,3 +271,34 @@ def engine_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = F.when(F.col("n") > 0, F.col("engine"))
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("engine"))
     return per.groupBy("page").agg(F.min_by(some, F.when(some.isNotNull(), rank)).alias("engine"), F.round(F.avg("conf"), 4).alias("mean_conf"), F.array_join(F.array_sort(F.collect_list(some)), ",").alias("available"))
+
+
+@query(
+    f"""
+WITH {_LIKE}, best AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY ratio DESC, id) AS n FROM scored WHERE ratio >= CASE assignment_source WHEN 'user' THEN 0.90 ELSE 0.85 END
+), top AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY ratio DESC, id) AS n FROM scored WHERE ratio >= 0.6
+), rival AS (SELECT w.text, max(o.ratio) AS second FROM top w JOIN top o ON o.text = w.text AND o.id <> w.id AND NOT {_SUBSET.format(a="w.term", b="o.term")} WHERE w.n = 1 GROUP BY w.text
+), clear AS (SELECT t.text, t.id FROM top t LEFT JOIN rival v ON v.text = t.text WHERE t.n = 1 AND round(t.ratio - coalesce(v.second, 0), 9) >= 0.10
+), met AS (SELECT r.id, r.text, r.id % 2 = 0 AS anchored, r.id % 9 = 1 AS custom, e.id AS exact, b.id AS fuzzy, CASE WHEN r.id % 2 = 0 THEN c.id END AS near
+  FROM readings r LEFT JOIN terms e ON e.text = r.text LEFT JOIN best b ON b.text = r.text AND b.n = 1 LEFT JOIN clear c ON c.text = r.text)
+SELECT id, text, coalesce(exact, fuzzy, near, -1) AS mapping, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN fuzzy IS NOT NULL THEN 'fuzzy' WHEN near IS NOT NULL THEN 'unambiguous' ELSE 'created' END AS how
+FROM met WHERE exact IS NOT NULL OR fuzzy IS NOT NULL OR near IS NOT NULL OR custom
+"""
+)
+def restricted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that stay where only known names are covered: every second is anchored by a label, every ninth a custom term."""
+    hits = readings(spark, sf_dir).withColumn("anchored", F.col("id") % 2 == 0).withColumn("custom", F.col("id") % 9 == 1)
+    return D.restricted(hits, terms(spark, sf_dir))
+
+
+@query(
+    f"""
+WITH {_TERMS}, items AS (SELECT id, text, id % 4 AS mock FROM terms UNION ALL SELECT id + 100000000, text || ' plus', (id // 2) % 4 FROM terms WHERE id % 3 = 0)
+SELECT a.id AS a_id, b.id AS b_id FROM items a JOIN items b ON a.id < b.id AND a.text <> b.text AND a.mock <> b.mock AND {_SUBSET.format(a="a.text", b="b.text")}
+"""
+)
+def collision_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names whose words contain one another and that stand for unlike values: aliases are no collisions."""
+    base = terms(spark, sf_dir).select("id", "text", (F.col("id") % 4).alias("mock_value"))
+    items = base.unionByName(base.filter("id % 3 = 0").select((F.col("id") + 100000000).alias("id"), F.concat("text", F.lit(" plus")).alias("text"), (F.floor(F.col("id") / 2) % 4).alias("mock_value")))
+    return D.reported(D.collisions(items), items)

@@ -16,7 +16,7 @@ from inkplane.sources.fixtures import BOXES, DOC_WORDS, box_words, boxes, doc_wo
     f"""
 WITH {BOXES}, c AS (SELECT page_id, least(sum(CASE WHEN block_type = 'paragraph' THEN w * h ELSE 0 END) / {PAGE_W * PAGE_H}.0, 1.0) AS cover FROM boxes GROUP BY page_id
 ), n AS (SELECT page_id, count(*) FILTER (WHERE conf >= 0.5 + (page_id % 3) * 0.01) AS n FROM words GROUP BY page_id)
-SELECT page_id, n AS n_words, round(cover, 6)::DOUBLE AS coverage, CASE WHEN n >= 20 AND cover >= 0.005 THEN 'digital' ELSE 'scanned' END AS page_kind FROM c JOIN n USING (page_id)
+SELECT page_id, n AS n_words, round(cover, 6)::DOUBLE AS coverage, CASE WHEN n >= 20 AND cover >= 0.02 THEN 'digital' ELSE 'scanned' END AS page_kind FROM c JOIN n USING (page_id)
 """
 )
 def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = F.when(F.col("block_type") == "paragraph", F.col("w") * F.col("h")).otherwise(0)
     cover = boxes(spark, sf_dir).groupBy("page_id").agg(F.least(F.sum(area) / F.lit(float(PAGE_W * PAGE_H)), F.lit(1.0)).alias("coverage"))
     n = box_words(spark, sf_dir).groupBy("page_id").agg(F.count_if(F.col("conf") >= 0.5 + (F.col("page_id") % 3) * 0.01).alias("n_words"))
-    kind = F.when((F.col("n_words") >= 20) & (F.col("coverage") >= 0.005), "digital").otherwise("scanned")
+    kind = F.when((F.col("n_words") >= 20) & (F.col("coverage") >= 0.02), "digital").otherwise("scanned")
     return cover.join(n, "page_id").select("page_id", "n_words", F.round("coverage", 6).alias("coverage"), kind.alias("page_kind"))
 
 

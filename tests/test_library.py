@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import pixels
 from inkplane.functions import text as T
-from inkplane.operators import align, layout, matching, sequential
+from inkplane.operators import align, dictionary, layout, matching, sequential
 from inkplane.sources import files
 from inkplane.streaming import watch
 
@@ -104,6 +104,21 @@ def test_fuzzy_spans_and_rows():
     assert align.row_clusters(words) == [[0, 1], [3, 2]]
 
 
+def test_second_chance_without_corporate_words(spark):
+    known = spark.createDataFrame([(1, "Meridian Zenith Bank Ltd", "user"), (2, "Orchid Harbour Group", "auto"), (3, "Fund Alpha", "user")], "id long, text string, assignment_source string")
+    names = spark.createDataFrame([(10, "Meridian Zenith"), (11, "Orchid Harbour"), (12, "Fund Alpha - Bank"), (13, None), (14, " ")], "id long, text string")
+    assert [tuple(r)[:2] for r in dictionary.fuzzy(names, known).collect()] == []
+    got = [(r.id, r.mapping, round(r.ratio, 4)) for r in dictionary.fuzzy(names, known, second_chance=True).collect()]
+    assert got == [(10, 1, round(sequential.ratio("Meridian Zenith", "Meridian Zenith Bank Ltd"), 4))]
+
+
+def test_token_set_ratio(spark):
+    rows = [("a b", "b a c"), ("fuzzy bear", "fuzzy bean x"), ("", "x"), (None, None), ("abc", "xyz")]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(matching.token_set_ratio(F.col("a"), F.col("b"))).collect()]
+    assert got[0] == 1.0 and got[2] == got[3] == got[4] == 0.0
+    assert got[1] == pytest.approx(max(sequential.ratio("fuzzy bear", "fuzzy bean x"), sequential.ratio("fuzzy", "fuzzy bear"), sequential.ratio("fuzzy", "fuzzy bean x")), abs=0.05)
+
+
 def test_term_index_loses_no_fuzzy_span(spark):
     rng = random.Random(7)
     letters = "abcde fgh"
