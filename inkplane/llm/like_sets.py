@@ -3,9 +3,11 @@
 Two texts are alike if their sets of shingles have a Jaccard similarity of LEAST or more; groups are the components of
 alike pairs. SimHash keys propose pairs first, which are verified on the sets and join most of what is alike. What they
 miss is found by prefixes: with the shingles of all sets in one order, sets of that similarity share a shingle among
-the first n - ceil(LEAST * n) + 1 of each. Members of a prefix shingle that do not hang together yet, and whose sizes
-and places allow the similarity, are verified too. The order puts frequent shingles last, so that few sets meet that
-are not alike; how often a shingle occurs is looked up in a sample, and any order finds the same pairs.
+the first n - ceil(LEAST * n) + 1 of each. Members of a prefix shingle that do not hang together yet, and whose sizes,
+places and parity bitmaps allow the similarity, are verified too. A bitmap has a bit for each class of hashes, set if
+the set has an odd number of them; where two differ in d bits, the sets differ in d shingles at least, which rules out
+nearly all pairs that are not alike, and never one that is. The order puts frequent shingles last, so that few sets
+meet that are not alike; how often a shingle occurs is looked up in a sample, and any order finds the same pairs.
 
 Defined results: null texts and texts without words are one group; a text of fewer words than a shingle is one shingle.
 """
@@ -18,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkplane.llm import simhash_pivot as P
@@ -31,6 +33,10 @@ OVER, UNDER = 4, 5
 SAMPLE, FREQUENT = 20_000, 200_000
 #: Texts whose sets are handed to Spark at a time.
 ROWS = 256
+#: Bits of a parity bitmap at least, and at most; in between as many as shingles, rounded up to a power of two.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: Words of bitmaps compared at a time.
+BITMAP_WORDS = 1 << 22
 
 
 def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -45,6 +51,46 @@ def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.n
     return shingles[order[: len(shingles) - -(-OVER * len(shingles) // UNDER) + 1]]
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """The parity bitmap of a set."""
+    n = min(max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length() if len(shingles) else 0), MOST_BITS)
+    counts = np.bincount((shingles & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Parity bitmaps of many sets, those of one length as a matrix. A long one is folded to compare it with a shorter."""
+
+    def __init__(self, maps: list[bytes]):
+        self.words = np.array([len(b) // 8 for b in maps], np.int64)
+        self.place, self.rows = np.empty(len(maps), np.int64), {}
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == w)
+            self.place[at] = np.arange(len(at))
+            self.rows[w] = np.frombuffer(b"".join([maps[k] for k in at]), "<u8").reshape(len(at), w)
+
+    def of(self, at: np.ndarray, words: int) -> np.ndarray:
+        out = np.empty((len(at), words), np.uint64)
+        for w in np.unique(self.words[at]).tolist():
+            here = self.words[at] == w
+            some = self.rows[w][self.place[at[here]]]
+            while some.shape[1] > words:
+                half = some.shape[1] // 2
+                some = some[:, :half] ^ some[:, half:]
+            out[here] = some
+        return out
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For each pair of rows in how many shingles they differ at least."""
+        out, words = np.zeros(len(i), np.int64), np.minimum(self.words[i], self.words[j])
+        for w in np.unique(words).tolist():
+            every, step = np.flatnonzero(words == w), max(1, BITMAP_WORDS // w)
+            for k in range(0, len(every), step):
+                at = every[k : k + step]
+                out[at] = np.bitwise_count(self.of(i[at], w) ^ self.of(j[at], w)).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def frequent(docs: DataFrame, scheme: P.Scheme) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a sample have, ascending, and in how many."""
     texts = docs.select("text", row_key(F.col("text")).alias("key"))
@@ -62,7 +108,7 @@ def frequent(docs: DataFrame, scheme: P.Scheme) -> tuple[np.ndarray, np.ndarray]
 
 
 def sets(docs: DataFrame, scheme: P.Scheme) -> DataFrame:
-    """(doc_id, key, rid, fp, print, node, size, first): node tells sets apart, print fingerprints."""
+    """(doc_id, key, rid, fp, print, node, size, bits, first): node tells sets apart, print fingerprints."""
     common, counts = frequent(docs, scheme)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,12 +119,12 @@ def sets(docs: DataFrame, scheme: P.Scheme) -> DataFrame:
                 fps, own = np.array([p for p, _ in both], dtype=np.uint64).reshape(-1, scheme.words), [s for _, s in both]
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], dtype=np.uint64).view(np.int64)
                 lists = [pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64())) for xs in (fps, [prefix(s, common, counts) for s in own])]
-                columns = [batch.column("doc_id"), batch.column("key"), lists[0], pa.array(P.node_of(fps)), pa.array(nodes), pa.array([len(s) for s in own], pa.int32()), *lists[1:]]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "print", "node", "size", "first"])
+                columns = [batch.column("doc_id"), batch.column("key"), lists[0], pa.array(P.node_of(fps)), pa.array(nodes), pa.array([len(s) for s in own], pa.int32()), pa.array([bitmap(s) for s in own], pa.binary()), *lists[1:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "print", "node", "size", "bits", "first"])
 
     rows = docs.select("doc_id", row_key(F.col("text")).alias("key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = rows.mapInArrow(make, f"doc_id {kind}, key long, fp array<bigint>, print long, node long, size int, first array<bigint>")
+    rows = rows.mapInArrow(make, f"doc_id {kind}, key long, fp array<bigint>, print long, node long, size int, bits binary, first array<bigint>")
     return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
@@ -104,8 +150,8 @@ def alike(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, scheme: P.Sche
     return both.filter(F.pandas_udf(judge, "boolean")("ta", "tb")).select("a", "b")
 
 
-def met(groups: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of rows, which stand by groups, that share one, have other roots and may be alike."""
+def met(groups: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, maps: Bitmaps) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of rows, which stand by groups and sizes, that share a group, have other roots and may be alike."""
     cut = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     sizes = np.diff(np.append(cut, len(groups)))
 
@@ -113,7 +159,9 @@ def met(groups: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray
         # Shared shingles from this one on; it is an upper bound of all of them where it is the first one shared.
         most = np.minimum(size[i] - place[i], size[j] - place[j])
         ok = (root[i] != root[j]) & ((OVER + UNDER) * most >= OVER * (size[i] + size[j]))
-        return pd.DataFrame({"a": node[i][ok], "b": node[j][ok]})
+        i, j = i[ok], j[ok]
+        ok = (OVER + UNDER) * maps.apart(i, j) <= (UNDER - OVER) * (size[i] + size[j])
+        return pd.DataFrame({"a": node[i[ok]], "b": node[j[ok]]})
 
     few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= P.SMALL), sizes))
     for step in range(1, P.SMALL):
@@ -122,20 +170,26 @@ def met(groups: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray
             break
         yield pairs(few[at], few[at + step])
     for g in np.flatnonzero(sizes > P.SMALL):
-        for i in range(cut[g], cut[g] + sizes[g] - 1):
-            others = np.arange(i + 1, cut[g] + sizes[g])
+        stop = cut[g] + sizes[g]
+        last = cut[g] + np.searchsorted(size[cut[g] : stop], size[cut[g] : stop] * UNDER // OVER, side="right")  # sizes within the least similarity
+        for i in range(cut[g], stop - 1):
+            others = np.arange(i + 1, last[i - cut[g]])
             found = pairs(np.full(len(others), i), others)
             if len(found):
                 yield found
 
 
-def prefix_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of unlike roots(rid, root) that share a shingle of their prefixes."""
+def prefix_pairs(rows: DataFrame, roots: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of unlike roots(rid, root) that share a shingle of their prefixes and may be alike."""
     some = rows.select("rid", "node", "size", "first").join(roots, "rid")
     some = some.select("node", "root", F.col("size").cast("long").alias("size"), F.posexplode("first").alias("place", "shingle"))
     # Size and place in one number, as rows of the shuffle have eight bytes a column.
     some = some.select("shingle", "node", "root", (F.shiftleft("size", 32) + F.col("place")).alias("at"))
-    some = some.repartition("shingle").sortWithinPartitions("shingle")
+    # Most shingles of prefixes are one set's own, or one root's: only what unlike roots share goes on, with bitmaps.
+    mine = Window.partitionBy("shingle")
+    some = some.withColumn("lo", F.min("root").over(mine)).withColumn("hi", F.max("root").over(mine)).filter("lo <> hi").drop("lo", "hi")
+    some = stored(some, "shared-shingles").join(distinct.select("node", "bits"), "node")
+    some = some.select("shingle", "node", "root", "at", "bits").repartition("shingle").sortWithinPartitions("shingle", "at")
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # rows of the last shingle, which may go on in the next batch
@@ -143,7 +197,7 @@ def prefix_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
         def close() -> Iterator[pd.DataFrame]:
             part = pd.concat(held, ignore_index=True)
             at = part["at"].to_numpy()
-            return met(part["shingle"].to_numpy(), part["node"].to_numpy(), part["root"].to_numpy(), at >> 32, at & 0xFFFFFFFF)
+            return met(part["shingle"].to_numpy(), part["node"].to_numpy(), part["root"].to_numpy(), at >> 32, at & 0xFFFFFFFF, Bitmaps(part["bits"].tolist()))
 
         for part in batches:
             if not len(part):
@@ -163,7 +217,7 @@ def prefix_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, scheme: P.Scheme = P.WIDE) -> DataFrame:
     """(doc_id, key, root): rows of one root, and only they, hang together by pairs of similarity LEAST or more."""
     rows = stored(sets(docs, scheme), "sets")
-    distinct = stored(rows.groupBy("node").agg(F.min_by("fp", "rid").alias("fp"), F.min_by("print", "rid").alias("print"), F.min("rid").alias("rid"), F.min("key").alias("key")), "distinct-sets")
+    distinct = stored(rows.groupBy("node").agg(F.min_by("fp", "rid").alias("fp"), F.min_by("print", "rid").alias("print"), F.min_by("bits", "rid").alias("bits"), F.min("rid").alias("rid"), F.min("key").alias("key")), "distinct-sets")
     heads = stored(distinct.groupBy("print").agg(F.first("fp").alias("fp"), F.min("node").alias("head")), "distinct-fingerprints")
     near = P.linked(heads.select("fp"), heads.count(), scheme)
     at_a, at_b = heads.select(F.col("print").alias("a"), F.col("head").alias("ha")), heads.select(F.col("print").alias("b"), F.col("head").alias("hb"))
@@ -171,6 +225,6 @@ def classes(docs: DataFrame, scheme: P.Scheme = P.WIDE) -> DataFrame:
     near = near.unionByName(distinct.join(heads, "print").filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")))
     links = stored(alike(near, distinct, docs, scheme), "near-links")
     roots = distinct.select("node", "rid").join(components(links, "near"), "node", "left").select("rid", F.coalesce("root", "node").alias("root"))
-    rest = alike(prefix_pairs(rows, roots), distinct, docs, scheme)
+    rest = alike(prefix_pairs(rows, stored(roots, "near-roots"), distinct), distinct, docs, scheme)
     roots = components(links.unionByName(rest), "alike")
     return rows.select("doc_id", "key", "node").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
