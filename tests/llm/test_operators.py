@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from inkplane.llm import components, curriculum, dac_tokens, edit_embedding, lang_crf, quality_gbt, secret_ledger, shards, simhash_pivot, warc, winnow
+from inkplane.llm import components, curriculum, dac_tokens, edit_embedding, lang_crf, like_sets, quality_gbt, secret_ledger, shards, simhash_pivot, warc, winnow
 from inkplane.llm.common import ascii_lower, count_words, shared_dir
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _key string, _size string, shard string"
@@ -81,6 +81,17 @@ def test_secret_ledger(spark):
     more = (*secret_ledger.RULES, secret_ledger.Rule("short", "short"))
     secret_ledger.scan(docs, ledger, more).collect()
     assert {tuple(r.scanned) for r in ledger.read().collect()} == {("assign@1", "access@1", "hex@1"), ("short@1",)}
+    # A new version of a rule is scanned for, and what the old one found is no finding of it.
+    lone, ledger = make(spark, [(1, "alpha beta gamma", "s")]), secret_ledger.BlobLedger(spark)
+    said = lambda docs, rule: [r[0] for r in secret_ledger.scan(docs, ledger, (rule,)).select(secret_ledger.joined(F.col("_spans"))).collect()]
+    assert said(lone, secret_ledger.Rule("k", "alpha")) == ["k:0:5"]
+    assert said(lone, secret_ledger.Rule("k", "beta|gamma", version=2)) == ["k:6:10,k:11:16"]
+    assert said(lone, secret_ledger.Rule("k", "alpha")) == ["k:0:5"]
+    # A path keeps the findings of what it held before; another ledger object goes on where the first stopped.
+    again = secret_ledger.BlobLedger(spark, ledger.path)
+    assert secret_ledger.scan(make(spark, [(1, "clean", "s"), (2, "alpha", "s")]), again, (secret_ledger.Rule("k", "alpha"),)).count() == 2
+    past = {(r.path, r.s) for r in again.history((secret_ledger.Rule("k", "alpha"),)).select("path", secret_ledger.joined(F.col("spans")).alias("s")).collect()}
+    assert past == {("1", "k:0:5"), ("1", ""), ("2", "k:0:5")}
     assert secret_ledger.scan(empty(spark), secret_ledger.BlobLedger(spark)).count() == 0
 
 
@@ -122,6 +133,8 @@ def test_arrivals_of_long_names_stay_apart(spark):
     store = shards.ShardStore(spark, shared_dir(spark, "shards"), docs.schema)
     store.append(docs, F.floor(F.col("doc_id") / 1000), [F.col("doc_id")])
     assert sorted(r.n_rows for r in store.manifest().collect()) == [1, 1, 1]
+    names = [x[0] for x in spark.createDataFrame([(7,), (1234567,)], "n long").select(shards.zeros(F.col("n"), 6)).collect()]
+    assert names == ["000007", "1234567"]
 
 
 def brute_print(text, size=4):
@@ -187,13 +200,36 @@ def test_group_links_span_what_all_pairs_would():
 
 @pytest.mark.parametrize("n", [10, 10**5, 10**7, 10**9])
 def test_choices_of_blocks_cover_all_pairs(n):
-    masks = simhash_pivot.exact_choices(n, simhash_pivot.EXACT)
+    blocks, choices = simhash_pivot.exact_blocks(n, simhash_pivot.EXACT)
+    assert sorted(b for bits in blocks for b in bits) == list(range(64)) and max(map(len, blocks)) <= 15
+    masks = [[b for k in pick for b in blocks[k]] for pick in choices]
     rng = random.Random(n)
     for _ in range(300):
         flipped = set(rng.sample(range(64), 4))
         assert any(flipped.isdisjoint(m) for m in masks)
 
 
+def test_coordinates_are_distances_to_the_references_over_a_block(spark):
+    rng, references = random.Random(3), simhash_pivot.EXACT.references
+    blocks = simhash_pivot.exact_blocks(10, simhash_pivot.EXACT)[0]
+    values = [rng.randrange(2**64) for _ in range(20)]
+    df = spark.createDataFrame([(v - 2**64 if v >> 63 else v,) for v in values], "fp long")
+    for v, got in zip(values, df.select(*[simhash_pivot.coordinates(F.col("fp"), b, references) for b in blocks]).collect(), strict=True):
+        for bits, c in zip(blocks, got, strict=True):
+            mask = sum(1 << b for b in bits)
+            assert [c % 2**64 >> 4 * k & 15 for k in range(16)] == [((v ^ int(r)) & mask).bit_count() for r in references[:16, 0]]
+
+
+def test_parity_bitmaps_bound_differences_from_below():
+    rng = np.random.default_rng(4)
+    every = rng.integers(0, 2**64, 6000, dtype=np.uint64)
+    some = [np.unique(every[rng.permutation(6000)[: rng.integers(0, 3000)]]) for _ in range(20)] + [every[:1], every[:0], every[:255], every[:256], every[:257]]
+    maps = like_sets.Bitmaps([like_sets.bitmap(s) for s in some])
+    i, j = map(np.ravel, np.meshgrid(range(len(some)), range(len(some))))
+    apart = [len(np.setxor1d(some[a], some[b])) for a, b in zip(i, j, strict=True)]
+    assert (maps.apart(i, j) <= apart).all() and (maps.apart(i, j)[i == j] == 0).all()
+
+
 def test_representatives(spark, rows):
     docs = make(spark, rows)
     kept = simhash_pivot.representatives(docs).collect()
@@ -261,6 +297,19 @@ def test_edit_embedding(spark, rows):
     assert edit_embedding.compared(empty(spark)).count() == 0
 
 
+def test_ids_of_any_spread_are_cut_into_even_ranges(spark, monkeypatch):
+    ids = [-(2**63), 2**63 - 1, 10**15, *range(5000)]
+    docs = make(spark, [(i, f"text {i}", "s") for i in ids] + [(None, "none", "s")])
+    rows = edit_embedding.in_order(docs)[0].groupBy("_block").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("_block").collect()
+    assert len(rows) > 8 and max(r.n for r in rows) < 1000 and [r.a for r in rows[1:]] == sorted(r.a for r in rows[1:]) and all(x.b < y.a for x, y in zip(rows[1:], rows[2:]))
+    got = {r.doc_id: r.edited_sha256 for r in edit_embedding.compared(docs).collect()}
+    order = [None, *sorted(ids)]
+    text = lambda i: "none" if i is None else f"text {i}"
+    for i, after in zip(order, order[1:] + order[:1], strict=True):
+        t = text(i)
+        assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 2] + text(after)[: len(t) // 2]).encode()).hexdigest()
+
+
 def test_embedding_tells_edits_from_chance():
     rng = random.Random(5)
     text = "".join(rng.choice(string.ascii_lowercase) for _ in range(4000))
@@ -502,7 +551,7 @@ def test_tokens(spark, rows):
 def test_warc(spark):
     rng = random.Random(9)
     pages = [(i, f"http://x/{i}", prose(rng, rng.randrange(0, 300))) for i in range(60)]
-    pages += [(70 + k, None, "same") for k in range(30)] + [(5, "u\r\nv", None), (6, "u", ""), (None, "u", "lone"), (200, "u", "WARC/1.1\r\n\r\n\r\n" + "\x1f"), (201, "u", "z" * 400_000), (70, "u", "same")]
+    pages += [(70 + k, None, "same") for k in range(30)] + [(5, "u\r\nv", None), (6, "u", ""), (None, "u", "lone"), (200, "u", "WARC/1.1\r\n\r\n\r\n" + "\x1f"), (201, "u", "z" * 400_000), (70, "u", "same"), (2**63 - 1, "u", "same"), (2**62 + 1, "u", "big id")]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, _sha string")
     path = shared_dir(spark, "w")
     made = warc.write(df, path)
@@ -516,6 +565,7 @@ def test_warc(spark):
         want.append((i, len(data), warc.digest(data), "revisit" if again else "response", first[h or ""][1] if again else None))
     for size in (97, 4096, warc.SPLIT_BYTES):
         assert sorted(map(str, map(tuple, warc.read(made, path, size).collect()))) == sorted(map(str, want))
+    assert warc.read(made, path, 97).rdd.getNumPartitions() == warc.splits(made, 97).count() > 100
     assert warc.round_trip(spark, df.limit(0)).count() == 0
     small = warc.round_trip(spark, df, least_bytes=5).filter("payload_bytes < 5").select("record_type").distinct().collect()
     assert [r[0] for r in small] == ["response"]
