@@ -30,8 +30,11 @@ def own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares, or below a temp folder where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or own_dir()
+    """A new folder below the one that the cluster shares; below a temp folder where none is set, on one machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or own_dir()
     return f"{base.rstrip('/')}/inkplane/{name}-{uuid.uuid4().hex}"
 
 
