@@ -14,9 +14,11 @@ doc_id, null first, and of a hash of the text within an id; an empty table gives
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -165,39 +167,126 @@ def compared(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(compare, schema)
 
 
-def near_classes(docs: DataFrame, bands: int = 16, digits: int = 8, least: float = 0.8) -> DataFrame:
+def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) by fingerprints of likeness ``least`` or more that share a band of sampled digits.
 
-    Distinct fingerprints are compared with the first of each band's bucket, which stands for it, so a bucket gives as
-    many pairs as it has members; verified pairs form components. Copies share a fingerprint and are compared once.
+    Bands are drawn for each class of lengths within the samples that its texts have, as many as miss a pair at the very
+    limit with a chance of MISS, wherever its unlike digits stand. All distinct fingerprints of a bucket are compared
+    until they hang together; large buckets are cut into chunks, and each pair of chunks is a group of its own, of some
+    2 * CHUNK rows. Copies share a fingerprint and are compared once. Fingerprints are told apart by 64-bit hashes.
+
+    Defined results: null and empty texts are one class; a null doc_id is the component's only if it has no other;
+    repeated rows are members like any; an empty table gives no rows; other columns are not read.
     """
     make = F.pandas_udf(_fingerprints, "string")
     prints = stored(docs.select("doc_id", make(F.coalesce("text", F.lit(""))).alias("print")), "prints")
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("print"))
-    rng = np.random.default_rng(5)
-    picks = [sorted(rng.choice(SAMPLES // 2, digits, replace=False).tolist()) for _ in range(bands)]
-    # Samples of the coarser of two neighbouring grids, so that texts on either side of a power of two meet.
-    exponent, body = F.substring("print", 1, 2).cast("int"), F.substring(F.col("print"), 4, SAMPLES)
-
-    def band(k: int, fine: bool) -> Column:
-        grid = [F.substring(body, 1 + p * (2 if fine else 1), 1) for p in picks[k]]
-        return F.xxhash64(exponent + (1 if fine else 0), F.lit(k), *grid)
-
-    keys = F.array(*[band(k, fine) for k in range(bands) for fine in (False, True)])
-    rows = stored(distinct.select("node", "print", F.explode(keys).alias("band")), "bands")
-    first = rows.groupBy("band").agg(F.min_by("node", "node").alias("a"), F.min_by("print", "node").alias("pa"))
-    alike = F.pandas_udf(_likenesses, "double")
-    pairs = rows.join(first, "band").filter("node != a").select("a", F.col("node").alias("b"), "pa", "print").distinct()
-    links = pairs.filter(alike("pa", "print") >= least).select("a", "b")
+    distinct = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("print")), "distinct-prints")
+    size = band_size(distinct.count())
+
+    def keys(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda p: band_keys(p, size, least))
+
+    keys_of = F.pandas_udf(keys, "array<long>")
+    bands = stored(distinct.select("node", F.explode(keys_of("print")).alias("band")), "bands")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = bands.join(stored(shared, "shared-bands"), "band").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")))
+    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: (c != F.col("chunk")) | (F.col("chunks") == 1)))
+    rows = rows.select("band", "node", "chunk", other.alias("other"))
+    rows = rows.select("band", "node", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"))
+    groups = rows.join(distinct.select("node", "print"), "node").groupBy("band", "p", "q")
+    links = groups.applyInPandas(lambda group: bucket_links(group["node"].to_numpy(), group["print"].tolist(), least), "a long, b long")
     roots = components(links, "edit-components")
     named = distinct.join(roots, "node", "left").select("print", "least", F.coalesce("root", "node").alias("root"))
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(best, "root").select("print", "component_id"), "print").select("doc_id", "component_id")
+    best = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
+    members = stored(named.join(best, "root").select("print", "component_id"), "members")
+    return prints.join(members, "print").select("doc_id", "component_id")
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return texts.map(fingerprint)
+#: Chance that no band shows a pair at the limit; fingerprints of a bucket compared in one group, about half as many.
+MISS, CHUNK = 0.02, 4096
+
+
+def band_size(n: int) -> int:
+    """Digits of a band: unlike texts agree on about a tenth of them, so a bucket holds few of n unlike fingerprints."""
+    return max(4, min(12, math.ceil(math.log10(max(n, 1))) + 1))
+
+
+def length_classes(longest: int) -> list[int]:
+    """Least lengths of the classes, in characters of written text: alike texts are in one class or in neighbours."""
+    out = [1]
+    while out[-1] <= longest:
+        out.append(max(out[-1] + 1, out[-1] * 13 // 10))
+    return out
 
 
-def _likenesses(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)])
+@cache
+def bands_of(lowest: int, above: int, size: int, least: float) -> tuple[int, np.ndarray]:
+    """The grid that all texts of a class and the next have, and the samples of each band among those all of them have.
+
+    ``lowest`` and ``above`` are the least lengths of the class and of the second after it. The bands tell pairs at the
+    limit whose unlike digits all stand among those samples.
+    """
+    exponent = 0
+    while above - 1 > SAMPLES << exponent:
+        exponent += 1
+    have = max(lowest >> exponent, 1)
+    # The shorter text of a pair may reach the next class; what it has beyond the samples in common counts as alike.
+    unlike = math.floor((1 - least) * (have * 13 / 10) + 1e-9)
+    alike = max(have - unlike, 1)
+    size = min(size, alike)
+    chance = math.comb(alike, size) / math.comb(have, size)
+    number = 1 if chance == 1 else math.ceil(math.log(MISS) / math.log(1 - chance))
+    rng = np.random.default_rng([17, lowest])
+    return exponent, np.stack([np.sort(rng.choice(have, size, replace=False)) for _ in range(number)])
+
+
+def band_keys(print_: str, size: int, least: float) -> list[int]:
+    """Keys of the bands of a fingerprint: those of its class of lengths, and of the class before it."""
+    exponent, digits = int(print_[:2]), np.frombuffer(print_[3:].encode(), np.uint8).astype(np.uint64)
+    length, out = len(digits) << exponent, []
+    lows = length_classes(max(length, 1) * 2)
+    own = bisect.bisect_right(lows, length) - 1
+    for k in range(max(own - 1, 0), own + 1):  # none for the empty text
+        grid, picks = bands_of(lows[k], lows[k + 2], size, least)
+        key = np.full(len(picks), lows[k], np.uint64) << np.uint64(20) | np.arange(len(picks), dtype=np.uint64)
+        for column in digits[:: 1 << grid - exponent][picks].T:
+            key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out += key.view(np.int64).tolist()
+    return out
+
+
+def bucket_links(nodes: np.ndarray, prints: list[str], least: float) -> pd.DataFrame:
+    """Links (a, b) that join the fingerprints of a bucket as all pairs of likeness ``least`` or more would.
+
+    Breadth first: each takes what it reaches among those not reached yet, so dense buckets are soon done.
+    """
+    exponents = np.array([int(p[:2]) for p in prints])
+    sizes = np.array([len(p) - 3 for p in prints])
+    digits = np.frombuffer("".join(p[3:].ljust(SAMPLES, "\0") for p in prints).encode(), np.uint8).reshape(len(prints), SAMPLES)
+    a, b, left, queue = [], [], np.arange(len(prints)), []
+    while len(left):
+        if not queue:
+            queue.append(left[0])
+            left = left[1:]
+            continue
+        at = queue.pop()
+        near = np.zeros(len(left), bool)
+        for e in np.unique(exponents[left]):
+            some = np.flatnonzero(exponents[left] == e)
+            mine, its = 1 << max(e - exponents[at], 0), 1 << max(exponents[at] - e, 0)
+            x, y = digits[at, ::mine], digits[left[some], ::its]
+            width = min(len(x), y.shape[1])
+            same = ((x[:width] == y[:, :width]) & (x[:width] != 0)).sum(axis=1)
+            near[some] = same >= least * np.maximum(-(-sizes[at] // mine), -(-sizes[left[some]] // its)) - 1e-9
+        found = left[near]
+        a += [nodes[at]] * len(found)
+        b += nodes[found].tolist()
+        queue += found.tolist()
+        left = left[~near]
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def _fingerprints(texts: pd.Series) -> pd.Series:
+    return texts.map(fingerprint)

@@ -328,6 +328,36 @@ def test_near_classes(spark, rows):
     got = edit_embedding.near_classes(make(spark, rows)).collect()
     same = {r.doc_id: r.component_id for r in got}
     assert len(got) == len(rows) and same[100] == 0 and same[101] == 0
+    assert {same[i] for i in (102, 103)} == {102} and edit_embedding.near_classes(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_near_classes_find_edited_texts(spark, monkeypatch, chunk):
+    monkeypatch.setattr(edit_embedding, "CHUNK", chunk)
+    rng, texts = random.Random(8), []
+    for n in [3, 6, 9, 15, 40, 90, 150, 250, 400, 700, 1500, 4000, 9000]:
+        for _ in range(4):
+            base = prose(rng, n)[: n * 5] if n > 9 else "".join(rng.choice(string.ascii_lowercase) for _ in range(n))
+            texts.append(base)
+            for edits in (1, 1, 2, 4, 8):  # the first members of a bucket are not alike to all
+                new = list(base)
+                for _ in range(max(1, edits * len(base) // 900)):
+                    at = rng.randrange(len(new))
+                    new[at : at + rng.randrange(2)] = rng.choice(string.ascii_lowercase)
+                texts.append("".join(new))
+    prints = [edit_embedding.fingerprint(t) for t in texts]
+    pairs = [(i, j) for j in range(len(prints)) for i in range(j) if prints[i] != prints[j] and edit_embedding.likeness(prints[i], prints[j]) >= 0.8]
+    root = list(range(len(prints)))
+    for i in range(len(prints)):
+        root[i] = min(root[k] for k in range(i + 1) if prints[k] == prints[i])
+    for i, j in pairs:
+        x, y = sorted((root[i], root[j]))
+        root = [x if r == y else r for r in root]
+    got = {r.doc_id: r.component_id for r in edit_embedding.near_classes(make(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    found = sum(got[i] == got[j] for i, j in pairs)
+    assert len(pairs) > 100 and found >= 0.97 * len(pairs), (found, len(pairs))
+    assert all(root[i] == root[c] for i, c in got.items())  # nothing joined but by likeness
+
 
 
 # --- op5
