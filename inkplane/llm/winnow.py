@@ -14,6 +14,8 @@ may have any name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ SEGMENT = 4096
 #: Windows of the benchmark up to which it is broadcast, about 150 bytes each; a larger one is joined by shuffles.
 BROADCAST_WINDOWS = 50_000
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LETTER = r"[0-9A-Za-z]|[^\x00-\x7F]"
 
 
 def words(text: Column) -> Column:
@@ -33,14 +36,24 @@ def words(text: Column) -> Column:
     return F.filter(pieces, lambda w: w != "")
 
 
-def _keys(ws: Column, last: Column) -> Column:
-    """For each K-gram start up to ``last`` its hash with the place in the low bits."""
+def _runs(values: Column, k: int, join: Callable[[Column, Column], Column]) -> Column:
+    """At each place the values of the ``k`` places from there joined, in passes that each join what stands apart by a step.
 
-    def key(i: Column) -> Column:
-        gram = F.xxhash64(*[F.get(ws, i + j) for j in range(K)])
-        return gram.bitwiseAND(F.lit(-SEGMENT * 2)).bitwiseOR(i.cast("long"))
+    Steps double, and the last overlaps. Places within the last ``k`` - 1 join what is left.
+    """
+    done = 1
+    while done < k:
+        step = min(done, k - done)
+        # A lambda of one value names the array, which would be worked out twice otherwise.
+        values = F.get(F.transform(F.array(values), lambda v: F.zip_with(v, F.slice(v, F.lit(step + 1), F.size(v)), join)), F.lit(0))  # noqa: B023
+        done += step
+    return values
 
-    return F.transform(F.sequence(F.lit(0), last), key)
+
+def _keys(ws: Column, last: Column) -> Column:
+    """For each K-gram start up to ``last`` its hash, of the hashes of its words, with the place in the low bits."""
+    grams = F.slice(_runs(F.transform(ws, lambda w: F.xxhash64(w)), K, lambda a, b: F.xxhash64(a, b)), F.lit(1), last + 1)
+    return F.transform(grams, lambda g, i: g.bitwiseAND(F.lit(-SEGMENT * 2)).bitwiseOR(i.cast("long")))
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +71,8 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataF
 
 def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, key, seg, ws, n): the words from seg * SEGMENT on, with those that the last windows reach beyond."""
-    rows = docs.select("doc_id", row_key(F.col("text")).alias("key"), words(F.col("text")).alias("all")).filter(F.size("all") > 0)
+    # Texts without words are told by their letters, as a filter on the words would split each text a second time.
+    rows = docs.filter(F.col("text").rlike(_LETTER)).select("doc_id", row_key(F.col("text")).alias("key"), words(F.col("text")).alias("all"))
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / SEGMENT).cast("int")), lambda g: F.slice(F.col("all"), g * SEGMENT + 1, F.lit(SEGMENT + window - 1)))
     rows = rows.select("doc_id", "key", F.posexplode(pieces).alias("seg", "ws"))
     return rows.withColumn("n", F.size("ws"))
@@ -78,7 +92,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataF
     found = []
     full, near = wins.filter(F.col("n") == window), segs.filter(F.col("n") >= window)
     keys = near.withColumn("ks", _keys(F.col("ws"), F.col("n") - K))
-    minima = F.transform(F.sequence(F.lit(0), F.col("n") - window), lambda s: F.least(*[F.get(F.col("ks"), s + j) for j in range(window - K + 1)]))
+    minima = F.slice(_runs(F.col("ks"), window - K + 1, lambda a, b: F.least(a, b)), F.lit(1), F.col("n") - window + 1)
     marks = keys.select("doc_id", "key", "seg", "ws", F.explode(F.array_distinct(minima)).alias("m"))
     marks = marks.select("doc_id", "key", "seg", "ws", F.shiftright("m", 13).alias("fp"), F.col("m").bitwiseAND(F.lit(SEGMENT * 2 - 1)).cast("int").alias("at"))
     found.append((marks, full, "fp", F.col("at") - F.col("off")))
