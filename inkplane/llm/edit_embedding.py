@@ -99,6 +99,8 @@ def likeness(a: str, b: str) -> float:
 
 #: Ranges of ids hold about so many rows at least, and there are so many ranges at most.
 RANGE_ROWS, RANGES = 500, 100_000
+#: Rows of a task about, so that tasks grow in number with the table, not in size.
+TASK_ROWS = 8_000
 
 
 def range_of(value: Column, cuts: list[int]) -> Column:
@@ -112,8 +114,8 @@ def range_of(value: Column, cuts: list[int]) -> Column:
     return F.when(value.isNull(), F.lit(-1)).otherwise(first + near).cast("long")
 
 
-def in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text, _key, _block) with _block ascending by doc_id; and the text that follows each block, (_for, _after).
+def in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, text, _key, _block), _block ascending by doc_id; the text that follows each block, (_for, _after); tasks.
 
     Ids are cut into ranges at their quantiles, so ranges hold about as many rows each whatever the ids are. Each range's
     first row is looked up and handed to the range before it, so no task orders the whole table. The lookup is
@@ -130,16 +132,17 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     want = stored(heads.select(F.col("_block").alias("_for"), F.coalesce(F.lead("_head").over(ahead), first).alias("_next")), "heads")
     same = rows["doc_id"].eqNullSafe(want["_next.doc_id"]) & (rows["_key"] == want["_next._key"])
     after = rows.join(F.broadcast(want), same).groupBy("_for").agg(F.first("text").alias("_after"))
-    return rows, after
+    return rows, after, min(ranges, n // TASK_ROWS)
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
-    rows, after = in_order(docs)
+    rows, after, tasks = in_order(docs)
     # The text that follows a range travels as a last row of it.
     tail = after.select(F.lit(None).cast("long").alias("doc_id"), F.col("_after").alias("text"), F.lit(0).cast("long").alias("_key"), F.col("_for").alias("_block"), F.lit(1).alias("_end"))
     all_rows = rows.withColumn("_end", F.lit(0)).unionByName(tail)
-    all_rows = all_rows.repartition("_block").sortWithinPartitions("_block", "_end", "doc_id", "_key")
+    tasks = max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    all_rows = all_rows.repartition(tasks, "_block").sortWithinPartitions("_block", "_end", "doc_id", "_key")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
