@@ -111,6 +111,32 @@ def claims(rows: DataFrame, order: list[Column], start: str, stop: str, key: str
     return pages.select("page_id", F.explode(F.aggregate("_all", F.slice("_all", 1, 0), keep)).alias("s")).select("page_id", f"s.{key}", f"s.{start}", f"s.{stop}")
 
 
+def preferred_tables(bordered: DataFrame, implied: DataFrame, key: str, least: float = 0.3, collapsed: float = 0.5) -> DataFrame:
+    """(page_id, origin, key) of the tables to go on with, of those found by borders and those found by line spacing.
+
+    Bordered tables have their tallest row's height as ``tallest``. In order of their keys each claims the first implied
+    table not claimed yet that it overlaps by ``least``. The claimed one stands for a bordered table whose rows collapsed
+    (the tallest takes ``collapsed`` of its height, or nothing is known of rows or height); otherwise the bordered one
+    stays. Tables of either side without a counterpart stay. Keys are told apart within a page.
+    """
+    near = _met(bordered, implied).filter(G.iou(G.box("a_"), G.box("b_")) >= least)
+    near = near.groupBy("page_id", F.col(f"a_{key}").alias("a")).agg(F.array_sort(F.collect_list(f"b_{key}")).alias("bs"))
+    near = near.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("a", "bs"))).alias("claims"))
+    none = F.array().cast(f"array<struct<a:{bordered.schema[key].dataType.simpleString()},b:{implied.schema[key].dataType.simpleString()}>>")
+
+    def claim(taken: Column, row: Column) -> Column:
+        free = F.array_except(row["bs"], taken["b"])
+        return F.when(F.size(free) > 0, F.concat(taken, F.array(F.struct(row["a"].alias("a"), F.get(free, F.lit(0)).alias("b"))))).otherwise(taken)
+
+    taken = near.select("page_id", F.inline(F.aggregate("claims", none, claim)))
+    fell = F.coalesce(F.col("tallest") / F.when(F.col("h") > 0, F.col("h")) >= collapsed, F.lit(True)) | (F.col("tallest") <= 0)
+    swap = fell & F.col("b").isNotNull()
+    kept = bordered.withColumnRenamed(key, "a").join(taken, ["page_id", "a"], "left")
+    kept = kept.select("page_id", F.when(swap, "implied").otherwise("bordered").alias("origin"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias(key))
+    left = implied.join(taken.select("page_id", F.col("b").alias(key)), ["page_id", key], "left_anti")
+    return kept.unionByName(left.select("page_id", F.lit("implied").alias("origin"), key))
+
+
 def text_source(kind: Column, n_read: Column, n_native: Column, blank_pages: bool = True) -> Column:
     """Where a page's words come from: recognition, else the page's own text on digital pages, else it is blank or failed."""
     return F.when(F.coalesce(n_read, F.lit(0)) > 0, "ocr").when((kind == "digital") & (F.coalesce(n_native, F.lit(0)) > 0), "native").otherwise("blank" if blank_pages else "failed")

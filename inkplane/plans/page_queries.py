@@ -187,3 +187,31 @@ def message_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("page "), F.col("event_id").cast("string")))
     line = lambda as_json: P.log_line(F.lit("INFO"), F.lit("plan"), F.col("event_type"), extras, as_json)
     return e.select("event_id", P.error_body(F.col("event_type"), message, F.concat(F.lit("r-"), F.col("user_id").cast("string"))).alias("body"), line(True).alias("json_line"), line(False).alias("plain_line"))
+
+
+_TABLES = f"""found AS (SELECT page_id, (2 * j + e)::INT AS j, (x + e * (page_id % 9))::INT AS x, y, w, h, CASE WHEN (page_id + j) % 7 <> 0 THEN (page_id * 3 + j * 5 + e * 11) % (h + 1) END AS tallest FROM boxes, range(2) t(e)
+), spaced AS (SELECT page_id, (2 * j + e)::INT AS j, (x + (page_id + (1 + 2 * e) * j) % 60)::INT AS x, y, w, h FROM boxes, range(2) t(e)
+), met AS (SELECT a.page_id, a.j AS a, list(b.j ORDER BY b.j) AS bs FROM found a JOIN spaced b USING (page_id) WHERE {_shared('a', 'b')}::DOUBLE / (a.w * a.h + b.w * b.h - {_shared('a', 'b')}) >= 0.3 GROUP BY ALL
+), steps AS (
+  SELECT DISTINCT page_id, -1 AS a, []::INT[] AS used, NULL::INT AS b FROM found
+  UNION ALL
+  SELECT page_id, a, CASE WHEN b IS NULL THEN used ELSE list_append(used, b) END, b
+  FROM (SELECT s.page_id, s.a + 1 AS a, s.used, list_filter(m.bs, lambda v: NOT list_contains(s.used, v))[1] AS b FROM steps s LEFT JOIN met m ON m.page_id = s.page_id AND m.a = s.a + 1 WHERE s.a < 11)
+), kept AS (SELECT f.page_id, f.j, s.b, s.b IS NOT NULL AND (coalesce(f.tallest, 0) = 0 OR f.tallest::DOUBLE / f.h >= 0.5) AS swap FROM found f JOIN steps s ON s.page_id = f.page_id AND s.a = f.j)"""
+
+
+@query(
+    f"""
+WITH RECURSIVE {BOXES}, {_TABLES}
+SELECT page_id, CASE WHEN swap THEN 'implied' ELSE 'bordered' END AS origin, CASE WHEN swap THEN b ELSE j END AS j FROM kept
+UNION ALL SELECT page_id, 'implied', j FROM spaced i WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.page_id = i.page_id AND k.b = i.j)
+"""
+)
+def preferred_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables found by borders and, shifted, by line spacing, two near each other for each block, and which of them stay."""
+    pid, j, e = F.col("page_id"), F.col("j"), F.col("e")
+    two = boxes(spark, sf_dir).withColumn("e", F.explode(F.array(F.lit(0), F.lit(1))))
+    row = F.when((pid + j) % 7 != 0, (pid * 3 + j * 5 + e * 11) % (F.col("h") + 1))
+    key, at = (2 * j + e).cast("int").alias("j"), lambda x: (F.col("x") + x).cast("int").alias("x")
+    found = two.select("page_id", key, at(e * (pid % 9)), "y", "w", "h", row.alias("tallest"))
+    return P.preferred_tables(found, two.select("page_id", key, at((pid + (1 + 2 * e) * j) % 60), "y", "w", "h"), "j")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import pixels
 from inkplane.functions import text as T
-from inkplane.operators import align, dictionary, layout, matching, sequential
+from inkplane.operators import align, dictionary, layout, matching, pages, sequential
 from inkplane.sources import files
 from inkplane.streaming import watch
 
@@ -197,3 +197,16 @@ def test_terms_are_found_beside_inner_punctuation(spark, tmp_path):
     spark.createDataFrame([(7, "information retrieval is a thing"), (8, "¿? ¡! … – it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = scalar_queries.term_spans(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, 7, 4, 30), (2, 7, 8, 34), (4, 8, 3, 12)]
+
+
+def test_preferred_tables(spark):
+    schema = "page_id long, t string, x int, y int, w int, h int"
+    bordered = [(1, "a", 0, 0, 100, 100, 90), (1, "b", 0, 0, 100, 100, 90), (1, "c", 0, 0, 100, 100, 20), (1, "d", 0, 500, 100, 100, None), (1, "e", 0, 0, None, None, 5), (2, "a", 0, 0, 100, 100, 50)]
+    implied = [(1, "p", 0, 5, 100, 100), (1, "q", 0, 9, 100, 100), (1, "r", 0, 12, 100, 100), (1, "s", 300, 0, 10, 10), (3, "p", 0, 0, 9, 9)]
+    make = lambda rows, more="": spark.createDataFrame(rows, schema + more)
+    got = sorted(tuple(r) for r in pages.preferred_tables(make(bordered, ", tallest int"), make(implied), "t").collect())
+    # c keeps its own rows though it claims r; d has no counterpart, e no box, page 2 nothing implied.
+    want = [(1, "bordered", "c"), (1, "bordered", "d"), (1, "bordered", "e"), (1, "implied", "p"), (1, "implied", "q"), (1, "implied", "s"), (2, "bordered", "a"), (3, "implied", "p")]
+    assert got == want
+    assert pages.preferred_tables(make([], ", tallest int"), make([]), "t").count() == 0
+    assert pages.preferred_tables(make([], ", tallest int"), make(implied), "t").count() == len(implied)
