@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,10 +68,13 @@ def banned_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 
 def write_audit(df: DataFrame, path: str) -> None:
-    """Audits as JSON by request, refused before anything is written if the schema has a banned key."""
+    """Audits as JSON by request, refused before anything is written if the schema has a banned key.
+
+    A request written again replaces its audit.
+    """
     if found := banned_paths(df.schema):
         raise ValueError(f"an audit must not hold {found}")
-    df.write.partitionBy("request_id").mode("append").json(path)
+    df.write.partitionBy("request_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
 
 
 def write_ledger(df: DataFrame, path: str) -> None:
@@ -95,25 +99,53 @@ def append_events(df: DataFrame, path: str) -> None:
     df.withColumn("details", safe_details(F.col("details"))).write.mode("append").json(path)
 
 
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """The whole table as a new version; readers see it when its marker is renamed into place."""
+class SnapshotConflict(RuntimeError):
+    """Another writer made the version first."""
+
+
+def write_snapshot(df: DataFrame, root: str, based_on: int | None = None) -> str:
+    """The whole table as a new version; readers see it once its marker, which names the data, is complete.
+
+    The version follows ``based_on``, the one that the table was made from, or else the last. Its marker is created only
+    if it is not there, so of two writers of one version the second gets SnapshotConflict, and no update is lost.
+    """
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    path, fs = _files(spark, root)
     data = f"{root}/data/{uuid.uuid4().hex}"
     df.write.parquet(data)
-    top = path(f"{root}/versions")
-    fs.mkdirs(top)
-    number = max([0, *(int(x.getPath().getName().split("-")[0]) for x in fs.listStatus(top))]) + 1
-    fs.create(path(f"{root}/versions/{number:08d}-{data.rpartition('/')[2]}"), False).close()
+    fs.mkdirs(path(f"{root}/versions"))
+    last = max([0, *(int(x.getPath().getName()) for x in fs.listStatus(path(f"{root}/versions")))])
+    number = (last if based_on is None else based_on) + 1
+    try:
+        marker = fs.create(path(f"{root}/versions/{number:08d}"), False)
+    except Py4JJavaError as e:
+        if not fs.exists(path(f"{root}/versions/{number:08d}")):
+            raise  # something else went wrong
+        fs.delete(path(data), True)
+        raise SnapshotConflict(f"version {number} is there already") from e
+    marker.write(bytearray(data.rpartition("/")[2].encode()))
+    marker.close()
     return data
 
 
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
+def snapshot_version(spark: SparkSession, root: str) -> int:
+    """The number of the last complete version, 0 for none."""
+    path, fs = _files(spark, root)
+    if not fs.exists(path(f"{root}/versions")):
+        return 0
+    return max([0, *(int(x.getPath().getName()) for x in fs.listStatus(path(f"{root}/versions")) if x.getLen() > 0)])
+
+
+def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The table of a version, of the last by default."""
+    number = snapshot_version(spark, root) if version is None else version
+    name = spark.read.text(f"{root}/versions/{number:08d}").first()[0]
+    return spark.read.parquet(f"{root}/data/{name}")
+
+
+def _files(spark: SparkSession, root: str):
     path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    last = max(x.getPath().getName() for x in fs.listStatus(path(f"{root}/versions")))
-    return spark.read.parquet(f"{root}/data/{last.split('-')[1]}")
+    return path, path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def masked_settings(settings: Column, secret: str = "key|token|password|secret") -> Column:

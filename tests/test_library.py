@@ -37,6 +37,35 @@ def test_watched_folder(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2 and spark.read.parquet(f"{tmp_path}/failed").count() == 1
 
 
+def test_failed_files_are_tried_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in range(4):
+        (tmp_path / "in" / f"f{n}.txt").write_text(f"text {n}")
+    bad, calls = {"f1.txt", "f2.txt"}, []
+
+    def handle(batch):
+        names = [r.path.rpartition("/")[2] for r in batch.select("path").collect()]
+        calls.extend(names)
+        if bad & set(names):
+            raise ValueError("no")
+        return batch.select("path", "length")
+
+    def run():
+        watch.process(watch.watched(spark, str(tmp_path / "in"), "*.txt"), handle, f"{tmp_path}/out", f"{tmp_path}/failed", f"{tmp_path}/c", remove=True).awaitTermination()
+        return sorted(r.path.rpartition("/")[2] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    left = lambda: sorted(p.name for p in (tmp_path / "in").glob("*.txt"))
+    assert run() == ["f0.txt", "f3.txt"] and left() == ["f1.txt", "f2.txt"]
+    bad.remove("f1.txt")
+    assert run() == ["f0.txt", "f1.txt", "f3.txt"] and left() == ["f2.txt"]
+    (tmp_path / "in" / "f2.txt").unlink()
+    (tmp_path / "in" / "f4.txt").write_text("new")
+    assert run() == ["f0.txt", "f1.txt", "f3.txt", "f4.txt"] and left() == []
+    calls.clear()
+    run()
+    assert calls == [] and watch._batches(spark, f"{tmp_path}/failed") == []
+
+
 def test_dictionary_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"entries": [{"mapping_id": "m1", "source_text": "PT  A", "mock_value": "X"}, {"mapping_id": "m1", "source_text": "B", "mock_value": "Y"}], "counters": {}}')
     (tmp_path / "b.json").write_text('[{"mapping_id": "m2", "source_text": "Straße", "mock_value": "Z", "entity_type": "ORG"}]')
@@ -50,6 +79,11 @@ def test_dictionary_files(spark, tmp_path):
     files.write_snapshot(df, f"{tmp_path}/snap")
     files.write_snapshot(df.limit(1), f"{tmp_path}/snap")
     assert files.read_snapshot(spark, f"{tmp_path}/snap").count() == 1
+    assert files.snapshot_version(spark, f"{tmp_path}/snap") == 2
+    with pytest.raises(files.SnapshotConflict):
+        files.write_snapshot(df, f"{tmp_path}/snap", based_on=1)
+    assert files.read_snapshot(spark, f"{tmp_path}/snap").count() == 1 and files.read_snapshot(spark, f"{tmp_path}/snap", 1).count() == df.count()
+    assert len(list((tmp_path / "snap" / "data").iterdir())) == 2
     got = files.recognizers(spark, ["entity: NRIC\npatterns:\n  - name: n\n    pattern: '[A-Z]+'\n    score: 0.9\n  - name: d\n    regex: x\n", "entity: ["])
     assert [tuple(r) for r in got.collect()] == [("NRIC", "n", "[A-Z]+", 0.9), ("NRIC", "d", "x", 0.8)]
 
@@ -60,6 +94,8 @@ def test_privacy_of_sinks(spark, tmp_path):
         files.write_audit(nested, f"{tmp_path}/audit")
     files.write_audit(spark.sql("select 'r' as request_id, 1 as n"), f"{tmp_path}/audit")
     assert spark.read.json(f"{tmp_path}/audit").count() == 1
+    files.write_audit(spark.sql("select 'r' as request_id, 2 as n union all select 's', 3"), f"{tmp_path}/audit")
+    assert sorted(tuple(r) for r in spark.read.json(f"{tmp_path}/audit").select("request_id", "n").collect()) == [("r", 2), ("s", 3)]
     with pytest.raises(ValueError):
         files.write_ledger(spark.sql("select '../r' as request_id, 1 as n"), f"{tmp_path}/ledger")
     files.append_events(spark.sql("select 'e' as event, map('pages', '1', 'raw_text', 'x', 'pii_kind', 'y') as details"), f"{tmp_path}/events")
