@@ -33,17 +33,18 @@ def as_label(text: str) -> str:
     return bare.translate(str.maketrans(*V.CONFUSIONS)) if digits * 2 <= len(bare) else bare
 
 
-def label_windows(tokens: list[str], groups: dict[str, tuple[str, ...]] = LABEL_GROUPS, least: float = 0.72) -> list[tuple[int, int, str, float]]:
+def label_windows(tokens: list[str], groups: dict[str, tuple[str, ...]] = LABEL_GROUPS, least: float = 0.72, last: int | None = None) -> list[tuple[int, int, str, float]]:
     """(start, stop, group, ratio) of labels in a row, leftmost first and without overlap, the best ratio at each start.
 
     A window has as many tokens as some label, six at most, and a letter or digit in each. A token of it that is, at
-    0.7, a one-word label of another group belongs there; and each token resembles one of the label's at 0.55.
+    0.7, a one-word label of another group belongs there; and each token resembles one of the label's at 0.55. Labels
+    that start after token ``last`` are not looked for.
     """
     widths = sorted({len(p.split()) for ps in groups.values() for p in ps if len(p.split()) <= 6}, reverse=True)
     words = [as_label(t) for t in tokens]
     single = {g: [p for p in ps if " " not in p] for g, ps in groups.items()}
     out, i = [], 0
-    while i < len(words):
+    while i < len(words) and (last is None or i <= last):
         best: tuple[float, int, str] | None = None
         for n in widths:
             part = words[i : i + n]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import pixels
 from inkplane.functions import text as T
-from inkplane.operators import align, dictionary, layout, matching, pages, sequential
+from inkplane.operators import align, dictionary, labels, layout, matching, pages, sequential
 from inkplane.sources import files
 from inkplane.streaming import watch
 
@@ -246,3 +246,26 @@ def test_preferred_tables(spark):
     assert got == want
     assert pages.preferred_tables(make([], ", tallest int"), make([]), "t").count() == 0
     assert pages.preferred_tables(make([], ", tallest int"), make(implied), "t").count() == len(implied)
+
+
+def test_label_values(spark):
+    pages_ = {
+        1: ["Debit dari", "A/C Name : PT Satu Dua", "A/C No : 111", "Kredit ke", "A/C N0 : 222", "Nama Rekening : PT Tiga", "A/C No : 333", "Bank : Niaga", "Bank : 12/03/2024"],
+        2: ["Kepada", "Kepada", "Kepada :", "Bank : Empat", "Up : PT Lima", "A/C Name : PT Enam"],
+        3: ["A/C Name", "PT Tujuh", "Kepada"],
+    }
+    words = [(p, r, k, t) for p, rows in pages_.items() for r, line in enumerate(rows) for k, t in enumerate(line.split())]
+    words = spark.createDataFrame([*words, (3, 1, 9, None)], "doc_id int, row_no int, row_pos int, text string")
+    got = {(r.doc_id, r.row_no, r.row_pos): (r.value, r.field_role, r.account_number) for r in labels.label_values(words).collect()}
+    assert got == {
+        (1, 1, 3): ("PT Satu Dua", "debit_account_name", "111"),
+        (1, 5, 3): ("PT Tiga", "credit_account_name", "222"),
+        (1, 7, 2): ("Niaga", "bank_name", None),
+        (2, 1, 0): ("Kepada", "counterparty_org", None),
+        (2, 3, 0): ("Bank : Empat", "counterparty_org", None),
+        (2, 4, 2): ("PT Lima", "counterparty_org", None),
+        (2, 5, 3): ("PT Enam", "counterparty_org", None),
+    }
+    some = labels.label_values(words, spark.createDataFrame([(2, 0), (2, 1)], "doc_id int, row_no int")).filter("doc_id = 2")
+    assert sorted(r.row_no for r in some.collect()) == [3, 4, 5]
+    assert labels.label_values(words.limit(0)).count() == 0
