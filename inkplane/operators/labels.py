@@ -1,4 +1,4 @@
-"""Values that stand beside or below labels in the rows of pages."""
+"""Values that stand beside or below labels in the rows of pages, and parts of one value in a column."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import text as T
 from inkplane.functions import vocab as V
-from inkplane.operators.sequential import LABEL_GROUPS, label_windows
+from inkplane.operators.sequential import LABEL_GROUPS, _groups, label_windows
 
 #: Words of a row at most that opens a section, or that names an addressee.
 SECTION_WORDS, ADDRESSEE_WORDS = 6, 4
@@ -90,3 +90,34 @@ def label_values(words: DataFrame, skip: DataFrame | None = None, page: str = "d
     found = kept.join(numbers, near, "left").groupBy(page, row, F.get("_w.p", F.lit(0)).alias(pos), "value", role.alias("field_role"), F.round("_ratio", 4).alias("confidence"))
     number = F.min_by("_number", F.when(F.col("_r").isNotNull(), F.struct(F.abs(F.col("_r") - F.col(row)), F.col("_r"))))
     return found.agg(F.when(number != "", number).alias("account_number"))
+
+
+def column_groups(finds: DataFrame, key: str, page: str = "page_id") -> DataFrame:
+    """(page, key, group): which finds of a page are parts of one value, ``group`` being the smallest key among them.
+
+    Finds(page, key, field_role, x, y, w, h, n_words, height), height being the mean of their words', hang together, one
+    through another, if they have one role, share half of the narrower's width, and either share 40 % of the lower's
+    height, or have two words at most each and a gap of a fifth of their mean heights, 4 at least, or less. Keys are told
+    apart within a page; boxes without width share none; an empty table gives no rows. The finds of one page and role
+    are grouped in one task.
+    """
+
+    def group(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(key)
+        rows = list(part[["x", "y", "w", "h", "n_words", "height"]].itertuples(index=False))
+        links = [(i, j) for j in range(len(rows)) for i in range(j) if _one_value(rows[i], rows[j])]
+        keys = part[key].tolist()
+        return pd.DataFrame({page: part[page].to_numpy(), key: keys, "group": [keys[r] for r in _groups(len(rows), links)]})
+
+    kinds = {c: finds.schema[c].dataType.simpleString() for c in (page, key)}
+    return finds.groupBy(page, "field_role").applyInPandas(group, f"{page} {kinds[page]}, {key} {kinds[key]}, group {kinds[key]}")
+
+
+def _one_value(a: tuple, b: tuple) -> bool:
+    ax, ay, aw, ah, an, am = a
+    bx, by, bw, bh, bn, bm = b
+    wide, high = min(ax + aw, bx + bw) - max(ax, bx), min(ay + ah, by + bh) - max(ay, by)
+    if min(aw, bw) <= 0 or wide < 0.5 * min(aw, bw):
+        return False
+    beside = max(an, bn) <= 2 and -high <= max(4, 0.2 * (am + bm) / 2)
+    return beside or (min(ah, bh) > 0 and high >= 0.4 * min(ah, bh))

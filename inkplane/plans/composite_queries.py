@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from inkplane.functions import geometry as G
 from inkplane.functions import text as T
 from inkplane.operators import align as A
+from inkplane.operators import labels as LB
 from inkplane.operators import layout as L
 from inkplane.operators import matching as M
 from inkplane.operators import pages as P
@@ -131,7 +132,7 @@ SELECT o_orderkey, line_no, start, stop, label, 1.0::DOUBLE AS ratio FROM orders
 """
 )
 def label_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels in the lines of a letter for each order; distinct lines are looked at once."""
+    """Labels in the lines of a letter for each order."""
     key = F.lpad(F.col("o_orderkey").cast("string"), 11, "0")
     forms = [F.lit("Debit dari"), F.lit("Bank : Niaga"), F.concat(F.lit("A/C No : "), key), F.lit("A/C Name : Meridian Zenith"), F.lit("Nama Rekening No Rekening")]
     lines = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(F.array(*forms)).alias("line_no", "line"))
@@ -140,6 +141,25 @@ def label_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("o_orderkey", "line_no", "h.start", "h.stop", "h.label", F.round("h.ratio", 4).alias("ratio"))
 
 
+@query(
+    """
+SELECT o_orderkey, 1 AS line_no, 3 AS pos, 'PT ' || o_orderpriority AS value, CASE o_orderstatus WHEN 'F' THEN 'debit_account_name' WHEN 'O' THEN 'credit_account_name' ELSE 'counterparty_org' END AS field_role,
+       1.0::DOUBLE AS confidence, 'N' || o_orderkey AS account_number
+FROM orders
+UNION ALL SELECT o_orderkey, 3, 2, o_orderpriority, 'bank_name', 1.0, NULL FROM orders
+UNION ALL SELECT o_orderkey, 5, 0, 'Customer ' || o_custkey, 'counterparty_org', 0.7, NULL FROM orders
+"""
+)
+def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name with its number, bank and addressee of a letter for each order, in the section that the order's state opens."""
+    opens = F.when(F.col("o_orderstatus") == "F", "Debit dari").when(F.col("o_orderstatus") == "O", "Kredit ke").otherwise("Surat")
+    name, number, bank = F.concat(F.lit("A/C Name : PT "), "o_orderpriority"), F.concat(F.lit("A/C No : N"), "o_orderkey"), F.concat(F.lit("Bank : "), "o_orderpriority")
+    forms = [opens, name, number, bank, F.lit("Kepada"), F.concat(F.lit("Customer "), "o_custkey")]
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(F.array(*forms)).alias("line_no", "line"))
+    words = lines.select("o_orderkey", "line_no", F.posexplode(F.split("line", " ")).alias("pos", "text"))
+    return LB.label_values(words, page="o_orderkey", row="line_no", pos="pos")
+
+
 @query()
 def spilled_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth word's box as a region, grown by the words beside it in reading order: rows only, as regions change as it goes."""

@@ -269,3 +269,17 @@ def test_label_values(spark):
     some = labels.label_values(words, spark.createDataFrame([(2, 0), (2, 1)], "doc_id int, row_no int")).filter("doc_id = 2")
     assert sorted(r.row_no for r in some.collect()) == [3, 4, 5]
     assert labels.label_values(words.limit(0)).count() == 0
+
+
+def test_column_groups(spark):
+    rows = [
+        (1, 0, "bank_name", 10, 10, 40, 10, 1, 10.0), (1, 1, "bank_name", 12, 22, 30, 10, 2, 10.0), (1, 2, "bank_name", 10, 36, 40, 10, 2, 10.0),  # a chain of small gaps
+        (1, 3, "bank_name", 200, 10, 40, 10, 1, 10.0),  # another column
+        (1, 4, "counterparty_org", 10, 22, 30, 10, 1, 10.0),  # another role
+        (1, 5, "bank_name", 10, 100, 40, 10, 3, 10.0), (1, 6, "bank_name", 10, 112, 40, 10, 1, 10.0), (1, 7, "bank_name", 12, 106, 40, 10, 5, 10.0),  # 7 overlaps both by height
+        (2, 0, "bank_name", 10, 10, 0, 10, 1, 10.0), (2, 1, "bank_name", 10, 12, 0, 10, 1, 10.0),
+    ]
+    finds = spark.createDataFrame(rows, "page_id int, k int, field_role string, x int, y int, w int, h int, n_words int, height double")
+    got = {(r.page_id, r.k): r.group for r in labels.column_groups(finds, "k").collect()}
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 0, (1, 3): 3, (1, 4): 4, (1, 5): 5, (1, 6): 5, (1, 7): 5, (2, 0): 0, (2, 1): 1}
+    assert labels.column_groups(finds.limit(0), "k").count() == 0
