@@ -66,20 +66,31 @@ def time_of(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
 
 
 def assigned(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """doc_id, the columns of ``keep`` as ``_k_<name>``, size, source_size, target, taken and _positions.
+    """doc_id, the columns of ``keep`` as ``_k_<name>``, size, source_size, target, taken and _positions."""
+    return _placed(_sized(docs, keep), keep, weights, schedules, max_repeats).drop("_row")
 
-    Within a source documents stand in the order of a hash of the id. Bucket sums of the hash give each document its
-    offset without a window over a whole source, so a source with a third of all rows is dealt like the others. A
-    repeat of a document is taken where its middle word lies before the source's target.
-    """
+
+def _sized(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``docs`` with their words, keys and hash; without ``keep`` stored, each with a number of its own."""
     doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     base = docs.select(
         F.col("doc_id"), F.col("source"), *[F.col(f"`{c}`").alias(f"_k_{c}") for c in keep],
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_skey"),
         count_words(F.col("text")).alias("_size"), F.md5(doc_id).alias("_hash"), row_key(F.col("text")).alias("_tie"),
     ).withColumn("_bucket", F.substring("_hash", 1, 3))
-    if not keep:  # a row of a few bytes for each text, which is then read once instead of three times
-        base = stored(base, "sizes")
+    if keep:
+        return base.withColumn("_row", F.lit(None).cast("long"))
+    # A row of a few bytes for each text, which is then read once instead of three times.
+    return stored(base.withColumn("_row", F.monotonically_increasing_id()), "sizes")
+
+
+def _placed(base: DataFrame, keep: Sequence[str] = (), weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """What ``assigned`` returns, and _row.
+
+    Within a source documents stand in the order of a hash of the id. Bucket sums of the hash give each document its
+    offset without a window over a whole source, so a source with a third of all rows is dealt like the others. A
+    repeat of a document is taken where its middle word lies before the source's target.
+    """
     sums = base.groupBy("_skey", "_bucket").agg(F.first("source").alias("source"), F.sum("_size").alias("_size"))
     earlier = Window.partitionBy("_skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).select("_skey", "_bucket", "_offset")
@@ -98,11 +109,34 @@ def assigned(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[float]
 
     rows = rows.withColumn("_taken", taken)
     return rows.select(
-        "doc_id", *[f"`_k_{c}`" for c in keep], F.col("_size").alias("size"), "source_size", "target",
+        "_row", "doc_id", *[f"`_k_{c}`" for c in keep], F.col("_size").alias("size"), "source_size", "target",
         (F.size("_taken") * F.col("_size")).cast("long").alias("taken"), F.transform("_taken", time).alias("_positions"),
     )
 
 
+def _slot(position: Column, slots: int) -> Column:
+    return F.least(F.floor(position * slots), F.lit(slots - 1)).cast("int")
+
+
+def dealt(docs: DataFrame, slots: int | None = None, **kwargs) -> DataFrame:
+    """doc_id, size, source_size, target, taken and first_position of each row, from the mix as it stands in training order.
+
+    Every copy is a row of a few bytes, written in the order of training positions, in a file for each slot as by
+    ``mixed``, and read back: ``taken`` counts a document's copies there, and ``first_position`` is that of the copy met
+    first. Rows that the mix leaves out are written behind it, dealt over as many files.
+    """
+    base = _sized(docs)
+    slots = slots or slots_for(base.agg(F.sum("_size")).first()[0] or 0)
+    out = _placed(base, **kwargs).select("_row", "doc_id", "size", "source_size", "target", F.explode_outer("_positions").alias("_position"))
+    slot = F.coalesce(_slot(F.col("_position"), slots), (slots + F.pmod(F.xxhash64("_row"), F.lit(slots))).cast("int"))
+    out = stored(out.repartitionById(2 * slots, slot).sortWithinPartitions("_position", "doc_id", "_row"), "mix")
+    place = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("slot"), F.col("_metadata.row_index").alias("row"))
+    rows = out.select("*", place.alias("_place")).groupBy("_row").agg(
+        *[F.any_value(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.count("_position").alias("_n"), F.min_by("_position", "_place").alias("first_position")
+    )
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("_n") * F.col("size")).alias("taken"), "first_position")
+
+
 def mixed(docs: DataFrame, slots: int = 64, **kwargs) -> DataFrame:
     """The rows of ``docs`` as the mix takes them, repeats included, sorted by training position.
 
@@ -112,7 +146,7 @@ def mixed(docs: DataFrame, slots: int = 64, **kwargs) -> DataFrame:
     columns = docs.columns
     out = assigned(docs, keep=columns, **kwargs)
     out = out.select(*[F.col(f"`_k_{c}`") for c in columns], F.explode("_positions").alias("_position"), row_key(F.col("_k_text")).alias("_tie"))
-    slot = F.least(F.floor(F.col("_position") * slots), F.lit(slots - 1)).cast("int")
+    slot = _slot(F.col("_position"), slots)
     out = out.repartitionById(slots, slot).sortWithinPartitions("_position", "_k_doc_id", "_tie")
     return out.select(*[F.col(f"`_k_{c}`").alias(c) for c in columns])
 

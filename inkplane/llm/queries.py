@@ -65,9 +65,8 @@ def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, and the training position of its first copy."""
-    out = curriculum.assigned(table(spark, sf_dir, "documents"))
-    first = F.round(F.try_element_at("_positions", F.lit(1)), 9)
-    return out.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
+    out = curriculum.dealt(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.round("first_position", 9).alias("first_position"))
 
 
 def op9_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -527,6 +527,23 @@ def test_curriculum(spark, rows):
     assert curriculum.assigned(empty(spark)).count() == curriculum.mixed(empty(spark)).count() == 0
 
 
+def test_query_deals_the_mix_in_training_order(spark, rows, tmp_path, monkeypatch):
+    from inkplane.llm import queries
+
+    kept, write = {}, curriculum.stored
+    monkeypatch.setattr(curriculum, "stored", lambda df, name: kept.setdefault(name, write(df, name)))
+    docs = make(spark, [*rows, *rows[:5]])  # equal rows are told apart
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_curriculum_mix(spark, str(tmp_path)).collect()
+    mix = kept["mix"].select("_position", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+    positions = [r["_position"] for r in mix if r["_position"] is not None]
+    assert positions == sorted(positions) and len({r.file_name for r in mix}) > 8
+    assert len(positions) == sum(r.taken // r.size for r in got if r.taken) and len(got) == len(rows) + 5
+    want = curriculum.assigned(docs).collect()
+    key = lambda r, p: (r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken, p and round(p, 9))
+    assert sorted(map(repr, (key(r, r.first_position) for r in got))) == sorted(map(repr, (key(r, next(iter(r["_positions"]), None)) for r in want)))
+
+
 def test_schedule_inverse(spark):
     for knots in (*curriculum.SCHEDULES, ((0.0, 0.0), (0.3, 2.0), (0.7, 0.5), (1.0, 1.0))):
         shares = [k / 50 for k in range(51)]
