@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ALIGNED = "page_id long, cluster int, text string, x int, y int, w int, h int, conf double, agreement double, engines string"
@@ -62,13 +63,117 @@ def align_page(words: pd.DataFrame, least: float = 0.5, prefer: str = "tesseract
     return pd.DataFrame(out, columns=[c.split()[0] for c in ALIGNED.split(", ")])
 
 
-def align(words: DataFrame) -> DataFrame:
-    """ALIGNED of words(page_id, engine, seq, text, x, y, w, h, conf); a page is a task's unit."""
+#: Rounds in which clusters are opened side by side; what is left then, in places where many boxes overlap, goes one by one.
+ROUNDS = 32
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        return align_page(pdf)
 
-    return words.groupBy("page_id").applyInPandas(page, ALIGNED)
+def _leaders(x, y, w, h, cap: int, least: float) -> np.ndarray:
+    """For each of some readings in order, the first member of the cluster that it joins, as ``align_page`` has it.
+
+    Readings are parted where no box reaches across. A part's first reading opens a cluster, which takes all that fit;
+    the first of those left opens the next one, in all parts at once.
+    """
+    n = len(x)
+    out, right, bottom = np.arange(n), x + w, y + h
+    band = np.cumsum(np.concatenate(([0], y[1:] >= np.maximum.accumulate(bottom)[:-1]))) if n else out
+    by_x = np.lexsort((x, band))
+    shift = band[by_x] * (max(right.max(), x.max()) - x.min() + 1) if n else out
+    edge = np.maximum.accumulate(np.maximum(right, x)[by_x] + shift)
+    part = np.empty(n, np.int64)
+    part[by_x] = np.cumsum(np.concatenate(([0], (x[by_x] + shift)[1:] >= edge[:-1]))) if n else out
+    left = np.argsort(part, kind="stable")
+
+    def fits(i, j):
+        wide, high = np.minimum(right[i], right[j]) - np.maximum(x[i], x[j]), np.minimum(bottom[i], bottom[j]) - np.maximum(y[i], y[j])
+        both = np.maximum(wide, 0) * np.maximum(high, 0)
+        area = w[i] * h[i] + w[j] * h[j] - both
+        return (both > 0) & (both / np.where(both > 0, area, 1) >= least) & (np.maximum(right[i], right[j]) - np.minimum(x[i], x[j]) <= cap)
+
+    for _ in range(ROUNDS):
+        if not len(left):
+            return out
+        first = np.concatenate(([True], part[left][1:] != part[left][:-1]))
+        lead = left[first][np.cumsum(first) - 1]
+        taken = first | fits(left, lead)
+        out[left[taken]] = lead[taken]
+        left = left[~taken]
+    strips: dict[int, list[int]] = {}  # clusters whose first member may still be reached from below, by strip
+    for i in np.sort(left).tolist():
+        mine = range(int(x[i] // BAND), int(right[i] // BAND) + 1)
+        for s in mine:
+            strips[s] = [k for k in strips.get(s, ()) if bottom[k] > y[i]]
+        near = np.array(sorted({k for s in mine for k in strips[s]}), np.int64)
+        ok = near[fits(near, i)]
+        if len(ok):
+            out[i] = ok[0]
+            continue
+        for s in mine:
+            strips[s].append(i)
+    return out
+
+
+def align_columns(page: pa.Table, least: float = 0.5, prefer: str = "tesseract") -> pa.Table:
+    """``align_page`` over whole columns: only texts that differ within a cluster are looked at one by one."""
+    names, kinds = zip(*(c.split() for c in ALIGNED.split(", ")), strict=True)
+    schema = pa.schema([(c, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[k]) for c, k in zip(names, kinds, strict=True)])
+    engines = page["engine"].combine_chunks().dictionary_encode()
+    plain = not any(c.null_count for c in page.columns) and all(pa.types.is_integer(page.schema.field(c).type) for c in ("seq", *"xywh"))
+    if not plain or not least > 0 or not 0 < len(engines.dictionary) < 63 or not page.num_rows:
+        return pa.Table.from_pandas(align_page(page.to_pandas(), least, prefer), schema, preserve_index=False)
+    seq, x, y, w, h = (page[c].to_numpy().astype(np.int64) for c in ("seq", *"xywh"))
+    cap = int(1.5 * np.sort(w)[len(w) // 2])
+    order = np.lexsort((seq, x, y))
+    lead = _leaders(x[order], y[order], w[order], h[order], cap, least)
+    order = order[np.argsort(lead, kind="stable")]
+    lead = np.sort(lead)
+    at = np.flatnonzero(np.concatenate(([True], lead[1:] != lead[:-1])))
+    size = np.diff(np.append(at, len(lead)))
+    x, y, right, bottom, conf = x[order], y[order], (x + w)[order], (y + h)[order], page["conf"].to_numpy().astype(float)[order]
+    texts = page["text"].combine_chunks().dictionary_encode()
+    stripped = [t.strip() for t in texts.dictionary.to_pylist()]
+    known = {t: k for k, t in enumerate(dict.fromkeys(stripped))}
+    text = np.array([known[t] for t in stripped], np.int64)[texts.indices.to_numpy()][order]
+    engine = engines.indices.to_numpy().astype(np.int64)[order]
+    chosen = text[at].copy()
+    readers = engines.dictionary.to_pylist()
+    best = readers.index(prefer) if prefer in readers else -1
+    differ = np.minimum.reduceat(text, at) != np.maximum.reduceat(text, at)
+    a, b, c = (text[np.minimum(at + i, len(text) - 1)] for i in range(3))
+    two = (size == 3) & ((a == b) | (a == c) | (b == c))  # two of three readings agree
+    chosen[two & (b == c)] = b[two & (b == c)]
+    for k in np.flatnonzero(differ & ~two).tolist():
+        rows = range(at[k], at[k] + size[k])
+        votes: dict[int, int] = {}
+        for i in rows:
+            votes[text[i]] = votes.get(text[i], 0) + 1
+        most = max(votes.values())
+        tied = [t for t, n in votes.items() if n == most]
+        mine = [t for t in dict.fromkeys(text[i] for i in rows if engine[i] == best) if t in tied]
+        chosen[k] = tied[0] if len(tied) == 1 else mine[0] if len(mine) == 1 else text[max((i for i in rows if text[i] in tied), key=lambda i: conf[i])]
+    masks, which = np.unique(np.bitwise_or.reduceat(np.int64(1) << engine, at), return_inverse=True)
+    sets = pa.array(["+".join(sorted(r for k, r in enumerate(readers) if m >> k & 1)) for m in masks.tolist()])
+    x0, y0 = np.minimum.reduceat(x, at), np.minimum.reduceat(y, at)
+    columns = [
+        pa.repeat(page["page_id"][0], len(at)), np.arange(len(at)), pa.array(list(known)).take(pa.array(chosen)), x0, y0, np.maximum.reduceat(right, at) - x0, np.maximum.reduceat(bottom, at) - y0,
+        np.add.reduceat(conf, at) / size, np.bitwise_count(masks)[which] / len(readers), sets.take(pa.array(which)),
+    ]
+    return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def align(words: DataFrame, readings: str | None = None) -> DataFrame:
+    """ALIGNED of words(page_id, engine, seq, text, x, y, w, h, conf); a page is a task's unit.
+
+    With ``readings``, all but page_id stand in that column, an array of structs, which spares a row for each of them.
+    """
+
+    def page(rows: pa.Table) -> pa.Table:
+        if readings is not None:
+            lists = rows[readings].combine_chunks()
+            flat = pa.Table.from_batches([pa.RecordBatch.from_struct_array(lists.flatten())])
+            rows = flat.append_column("page_id", pa.repeat(rows["page_id"][0], flat.num_rows))
+        return align_columns(rows)
+
+    return words.groupBy("page_id").applyInArrow(page, ALIGNED)
 
 
 def row_clusters(words: pd.DataFrame) -> list[list[int]]:

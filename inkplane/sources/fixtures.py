@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from inkplane.plans.registry import table
 
 
-def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Words of each document as a typewriter sets them: doc_id, line_no, k, word_idx, text, x, y, w, h, char_start, char_end, conf.
 
-    The rows of a document meet in one task, by way of one shuffle that its later windows reuse.
+    The rows of a document meet in one task, by way of one shuffle that its later windows reuse. ``whole`` shuffles the
+    texts instead of their words, which is less to write, but leaves more words to a task.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.repartition("doc_id") if whole else docs
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     toks = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("k", "text"))
     in_line = Window.partitionBy("doc_id").orderBy("line_no", "k")

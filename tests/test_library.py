@@ -198,6 +198,24 @@ def test_unambiguous_alignment():
     assert out["text"].tolist() == ["aB", "cd"] and out["agreement"].tolist() == [1.0, 1.0]
 
 
+def test_alignment_of_columns_is_that_of_rows(spark):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    for n in range(160):
+        wide, high = rng.choice([(60, 40), (300, 30), (2000, 300), (500, 2)])
+        rows = [
+            (7, rng.choice(["rapidocr", "tesseract", "easyocr"]), rng.randrange(50), rng.choice(["a", " a", "b", "c "]), rng.randrange(-20, wide), rng.randrange(-5, high), rng.choice([0, 3, 20, 25, 60]), rng.choice([0, 8, 10, 14]), rng.randrange(9) / 8)
+            for _ in range(rng.choice([1, 2, 7, 40, 400 if n % 8 else 1500]))
+        ]
+        pdf = pd.DataFrame(rows, columns=["page_id", "engine", "seq", "text", "x", "y", "w", "h", "conf"])
+        want, got = align.align_page(pdf), align.align_columns(pa.Table.from_pandas(pdf, preserve_index=False)).to_pandas()
+        pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9)
+    flat = spark.createDataFrame(pdf)
+    nested = flat.groupBy("page_id").agg(F.collect_list(F.struct(*pdf.columns[1:])).alias("r"))
+    assert sorted(map(tuple, align.align(nested, "r").collect())) == sorted(map(tuple, align.align(flat).collect()))
+
+
 def test_labels_and_windows():
     assert sequential.label_windows("A/C Name : PT X A/C N0 1234 Bank BCA".split()) == [(0, 2, "account_name", 1.0), (5, 7, "account_number", 1.0), (8, 9, "bank", 1.0)]
     assert sequential.label_windows("No Jumlah Nama Rekening Bank No Rekening".split())[0][2] == "account_name"
