@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkplane.functions import text as T
 from inkplane.functions import vocab as V
-from inkplane.operators.sequential import LABEL_GROUPS, _groups, label_windows
+from inkplane.operators.sequential import LABEL_GROUPS, _groups, as_label, label_windows, ratio
 
 #: Words of a row at most that opens a section, or that names an addressee.
 SECTION_WORDS, ADDRESSEE_WORDS = 6, 4
@@ -39,13 +41,82 @@ def row_kind(tokens: list[str]) -> tuple[str | None, int, float]:
     return found[2], at, found[3]
 
 
-def _kinds(lines: pd.Series) -> pd.DataFrame:
-    seen: dict[tuple, tuple] = {}
-    keys = [tuple(line) for line in lines]
-    for key in keys:
-        if key not in seen:
-            seen[key] = row_kind(key)
-    return pd.DataFrame([seen[key] for key in keys], columns=["kind", "at", "ratio"])
+#: Words of all labels, and their letters; a token less like each of them than LIKE is in no window that is a label.
+LABEL_WORDS = sorted({q for labels in (*LABEL_GROUPS.values(), *SECTIONS.values(), V.ADDRESSEE_LABELS) for p in labels for q in p.split()})
+LIKE, CACHED = 0.55, 200_000
+_OTHER = {c: "\0" for c in range(128) if chr(c) not in "".join(LABEL_WORDS)}
+_seen_words: dict[str, bool] = {}
+_seen_rows: dict[tuple, object] = {}
+
+
+def stand_in(token: str) -> str:
+    """The token, if a label may hold it, else one that stands for all others that say, or say not, something."""
+    if not (token.isascii() and token.isdigit()):
+        word = as_label(token)
+        if len(word.split()) > 1:
+            return token
+        key = word.translate(_OTHER)  # letters of no label are alike to a ratio
+        like = _seen_words.get(key)
+        if like is None:
+            if len(_seen_words) >= CACHED:
+                _seen_words.clear()
+            like = _seen_words[key] = any(ratio(word, q) >= LIKE for q in LABEL_WORDS)
+        if like:
+            return token
+    return "0" if token.strip(" :.-") else ":"
+
+
+def _once(find, tokens: tuple[str, ...]):
+    """What ``find`` says of a row of stand-ins, looked for once."""
+    key = (find, tokens)
+    if key not in _seen_rows:
+        if len(_seen_rows) >= CACHED:
+            _seen_rows.clear()
+        _seen_rows[key] = find(list(tokens))
+    return _seen_rows[key]
+
+
+def _taken(results: list, kind: pa.DataType, which) -> pa.Array:
+    """An array of results, each converted once."""
+    known: dict[str, int] = {}
+    at = pa.array([known.setdefault(repr(r), len(known)) for r in results], pa.int32())
+    first = {k: r for r, k in zip(reversed(results), reversed(at.to_pylist()), strict=True)}
+    return pa.array([first[k] for k in range(len(known))], kind).take(at.take(which))
+
+
+HITS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("label", pa.string()), ("ratio", pa.float64())]))
+KINDS = pa.struct([("kind", pa.string()), ("at", pa.int32()), ("ratio", pa.float64())])
+
+
+def _hits(tokens: list[str]) -> list[dict]:
+    return [dict(zip(("start", "stop", "label", "ratio"), hit, strict=True)) for hit in label_windows(tokens)]
+
+
+def _row_kind(tokens: list[str]) -> dict:
+    return dict(zip(("kind", "at", "ratio"), row_kind(tokens), strict=True))
+
+
+def _line_hits(lines: pa.Array) -> pa.Array:
+    lines = lines.dictionary_encode()
+    return _taken([_once(_hits, tuple(map(stand_in, line.split()))) for line in lines.dictionary.to_pylist()], HITS, lines.indices)
+
+
+def line_hits(line: Column) -> Column:
+    """The label windows of a line, words being parted by white space; a null line has none."""
+    return F.arrow_udf(_line_hits, "array<struct<start: int, stop: int, label: string, ratio: double>>")(line)
+
+
+def _kinds(rows: pa.Array) -> pa.Array:
+    ends = np.cumsum([0, *rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])
+    words = rows.flatten().dictionary_encode()
+    stands = list(map(stand_in, words.dictionary.to_pylist()))
+    code = {t: k for k, t in enumerate(dict.fromkeys(stands))}
+    texts, size = list(code), 4
+    codes = np.array([code[t] for t in stands], np.int32)[words.indices.to_numpy()].tobytes()
+    known: dict[bytes, int] = {}
+    ends = (ends * size).tolist()
+    which = [known.setdefault(codes[a:b], len(known)) for a, b in zip(ends, ends[1:])]
+    return _taken([_once(_row_kind, tuple(texts[c] for c in np.frombuffer(k, np.int32))) for k in known], KINDS, pa.array(which, pa.int32()))
 
 
 def label_values(words: DataFrame, skip: DataFrame | None = None, page: str = "doc_id", row: str = "row_no", pos: str = "row_pos") -> DataFrame:
@@ -62,8 +133,16 @@ def label_values(words: DataFrame, skip: DataFrame | None = None, page: str = "d
     else:
         here = words
     lines = here.filter(F.col("text").isNotNull()).groupBy(page, row).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("text").alias("t")))).alias("_w"))
-    kinds = F.pandas_udf(_kinds, "kind string, at int, ratio double")
-    lines = lines.withColumn("_k", kinds(F.col("_w.t")))
+    return line_values(lines, "_w", page, row, pos)
+
+
+def line_values(lines: DataFrame, words: str, page: str = "doc_id", row: str = "row_no", pos: str = "row_pos") -> DataFrame:
+    """``label_values`` of lines(page, row, words), one for each page and row, with an array of p and t, ascending, not null.
+
+    The lines of a page meet in one task; lines that stand there already are not shuffled.
+    """
+    kinds = F.arrow_udf(_kinds, "kind string, at int, ratio double")
+    lines = lines.select(page, row, F.col(words).alias("_w"), kinds(F.col(f"{words}.t")).alias("_k"))
 
     down = Window.partitionBy(page).orderBy(row)
     so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -82,14 +161,15 @@ def label_values(words: DataFrame, skip: DataFrame | None = None, page: str = "d
     rest = F.expr("slice(_w, _at + 1, size(_w))")
     events = events.filter(F.col("_kind").isin("addressee", *LABEL_GROUPS)).withColumn("_w", rest).withColumn("value", F.trim(F.array_join("_w.t", " ")))
 
-    numbers = events.filter("_kind = 'account_number'").select(F.col(page).alias("_p"), F.col("_section").alias("_s"), F.col(row).alias("_r"), F.col("value").alias("_number"))
+    name = F.col("_kind") == "account_name"
+    number = F.when(F.col("_kind") == "account_number", F.struct(F.col("_section").alias("s"), F.col(row).alias("r"), F.col("value").alias("number")))
+    events = events.withColumn("_numbers", F.collect_list(number).over(down.rangeBetween(-NUMBER_ROWS, NUMBER_ROWS)))
     kept = events.filter((F.col("_kind") != "account_number") & (F.size("_w") > 0) & ~T.numeric_or_date(F.col("value")))
-    near = F.col(page).eqNullSafe(F.col("_p")) & F.col("_section").eqNullSafe(F.col("_s")) & (F.abs(F.col("_r") - F.col(row)) <= NUMBER_ROWS) & (F.col("_kind") == "account_name")
+    near = F.filter("_numbers", lambda n: n["s"].eqNullSafe(F.col("_section")) & (F.abs(n["r"] - F.col(row)) <= NUMBER_ROWS))
+    nearest = F.array_min(F.transform(near, lambda n: F.struct(F.abs(n["r"] - F.col(row)).alias("far"), n["r"].alias("r"), n["number"].alias("number"))))["number"]
     side = F.when(F.col("_section") == "debit", "debit_account_name").when(F.col("_section") == "credit", "credit_account_name").otherwise("counterparty_org")
-    role = F.when(F.col("_kind") == "account_name", side).when(F.col("_kind") == "bank", "bank_name").otherwise("counterparty_org")
-    found = kept.join(numbers, near, "left").groupBy(page, row, F.get("_w.p", F.lit(0)).alias(pos), "value", role.alias("field_role"), F.round("_ratio", 4).alias("confidence"))
-    number = F.min_by("_number", F.when(F.col("_r").isNotNull(), F.struct(F.abs(F.col("_r") - F.col(row)), F.col("_r"))))
-    return found.agg(F.when(number != "", number).alias("account_number"))
+    role = F.when(name, side).when(F.col("_kind") == "bank", "bank_name").otherwise("counterparty_org")
+    return kept.select(page, row, F.get("_w.p", F.lit(0)).alias(pos), "value", role.alias("field_role"), F.round("_ratio", 4).alias("confidence"), F.when(name & (nearest != ""), nearest).alias("account_number"))
 
 
 def column_groups(finds: DataFrame, key: str, page: str = "page_id") -> DataFrame:

@@ -289,6 +289,34 @@ def test_label_values(spark):
     assert labels.label_values(words.limit(0)).count() == 0
 
 
+def test_rows_of_stand_ins_read_like_rows(spark):
+    rng = random.Random(5)
+    pieces = ["a/c", "A/C", "name", "Nama", "rekening", "rekenlng", "N0", "No", "no.", ":", "-", "bank", "Banking", "12", "0158", "88bank8", "debit", "dari", "Kredlt", "ke", "to", "t0", "attn", "PT", "Zenith", "fund", "fu nd", "\u00e4ccount", "", "x1y2", "account", "number", "xq", "~"]
+    rows = [[rng.choice(pieces) for _ in range(rng.randrange(1, 8))] for _ in range(3000)]
+    for r in rows:
+        assert labels._once(labels._row_kind, tuple(map(labels.stand_in, r))) == labels._row_kind(r)
+        words = " ".join(r).split()
+        assert labels._once(labels._hits, tuple(map(labels.stand_in, words))) == labels._hits(words)
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "r array<string>").coalesce(1).select(F.arrow_udf(labels._kinds, "kind string, at int, ratio double")("r")).collect()]
+    assert [tuple(g) for g in got] == [labels.row_kind(r) for r in rows]
+
+
+def test_letters_cost_no_reading_each(spark, tmp_path, monkeypatch):
+    from inkplane.plans import composite_queries
+
+    # Numbers of letters are alike to a label: rows that differ in them only are looked at once.
+    calls = []
+    monkeypatch.setattr(labels, "label_windows", lambda tokens, *more: calls.append(tokens) or sequential.label_windows(tokens, *more))
+    labels._seen_rows.clear()
+    import pyarrow as pa
+
+    out = labels._line_hits(pa.array([f"A/C No : {n}" for n in range(5000)] + [None]))
+    assert len(calls) == 1 and out[0].as_py() == out[4999].as_py() == [{"start": 0, "stop": 2, "label": "account_number", "ratio": 1.0}] and out[5000].as_py() is None
+    spark.createDataFrame([(None,), (7,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = composite_queries.label_hits(spark, str(tmp_path)).filter("o_orderkey IS NULL").collect()
+    assert sorted((r.line_no, r.start, r.stop, r.label) for r in got) == [(1, 0, 1, "bank"), (2, 0, 2, "account_number"), (3, 0, 2, "account_name"), (4, 0, 2, "account_name"), (4, 2, 4, "account_number")]
+
+
 def test_column_groups(spark):
     rows = [
         (1, 0, "bank_name", 10, 10, 40, 10, 1, 10.0), (1, 1, "bank_name", 12, 22, 30, 10, 2, 10.0), (1, 2, "bank_name", 10, 36, 40, 10, 2, 10.0),  # a chain of small gaps
