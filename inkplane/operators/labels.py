@@ -163,7 +163,10 @@ def line_values(lines: DataFrame, words: str, page: str = "doc_id", row: str = "
 
     name = F.col("_kind") == "account_name"
     number = F.when(F.col("_kind") == "account_number", F.struct(F.col("_section").alias("s"), F.col(row).alias("r"), F.col("value").alias("number")))
-    events = events.withColumn("_numbers", F.collect_list(number).over(down.rangeBetween(-NUMBER_ROWS, NUMBER_ROWS)))
+    events = events.withColumn("_number", number)
+    # Rows are whole numbers and differ within a page, so so many neighbours hold all that are near enough.
+    beside = [f("_number", k).over(down) for f in (F.lag, F.lead) for k in range(1, NUMBER_ROWS + 1)]
+    events = events.withColumn("_numbers", F.array(*beside))
     kept = events.filter((F.col("_kind") != "account_number") & (F.size("_w") > 0) & ~T.numeric_or_date(F.col("value")))
     near = F.filter("_numbers", lambda n: n["s"].eqNullSafe(F.col("_section")) & (F.abs(n["r"] - F.col(row)) <= NUMBER_ROWS))
     nearest = F.array_min(F.transform(near, lambda n: F.struct(F.abs(n["r"] - F.col(row)).alias("far"), n["r"].alias("r"), n["number"].alias("number"))))["number"]
