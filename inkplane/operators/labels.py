@@ -139,7 +139,7 @@ def label_values(words: DataFrame, skip: DataFrame | None = None, page: str = "d
 def line_values(lines: DataFrame, words: str, page: str = "doc_id", row: str = "row_no", pos: str = "row_pos") -> DataFrame:
     """``label_values`` of lines(page, row, words), one for each page and row, with an array of p and t, ascending, not null.
 
-    The lines of a page meet in one task; lines that stand there already are not shuffled.
+    The lines of a page meet in one task, by one shuffle; rows are whole numbers.
     """
     kinds = F.arrow_udf(_kinds, "kind string, at int, ratio double")
     lines = lines.select(page, row, F.col(words).alias("_w"), kinds(F.col(f"{words}.t")).alias("_k"))
