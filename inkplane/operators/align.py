@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -201,6 +204,10 @@ def _lcs(masks: dict[str, int], n: int, text: str) -> int:
     return n - v.bit_count()
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def lowered(text: str) -> str:
     """Lower case, character by character where it would change the text's length, so that places stay."""
     low = text.lower()
@@ -250,49 +257,155 @@ def fuzzy_spans(text: str, term: str, least: float = 0.9, rounds: int = 10, star
     return out
 
 
-#: Characters of a piece by which windows are found, and terms looked for in one pass over the texts.
-PIECE, TERMS_AT_ONCE = 3, 20_000
+#: Characters of text looked at in one pass, longest part of a piece that is looked up, signs told apart, anchors met at once.
+BLOCK, GRAM, SIGNS, MET_AT_ONCE, TERMS_AT_ONCE = 1 << 18, 6, 128, 1 << 20, 20_000
+
+
+class _Pieces:
+    """Terms cut into pieces, each looked up by a hash of its first characters; hashes that coincide only add places."""
+
+    def __init__(self, signs: np.ndarray, cuts: list[tuple[int, np.ndarray, int]]):
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        self.bits = max(18, (64 * sum(parts for _, _, parts in cuts)).bit_length())
+        for k, codes, parts in cuts:
+            edges = [i * len(codes) // parts for i in range(parts + 1)]
+            for a, b in zip(edges, edges[1:]):
+                size = min(b - a, GRAM)
+                for h in self._hashes(signs[codes[a : a + size]], size):
+                    pass
+                found.setdefault(size, []).append((int(self._slots(h)[0]), k, a))
+        self.grams = {}
+        for size, rows in sorted(found.items()):
+            slot, term, at = np.array(sorted(rows)).T
+            slots, first, count = np.unique(slot, return_index=True, return_counts=True)
+            known = np.zeros(1 << self.bits, bool)
+            known[slots] = True
+            self.grams[size] = known, slots, first, count, term, at
+
+    @staticmethod
+    def _hashes(text: np.ndarray, longest: int):
+        """Hashes of the first 1, 2, ... characters from each place on."""
+        text = text.astype(np.uint32)
+        h = text
+        for size in range(1, longest + 1):
+            if size > 1:
+                h = h[:-1] * np.uint32(0x01000193) + text[size - 1 :]
+            yield h
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return h * np.uint32(0x9E3779B1) >> np.uint32(32 - self.bits)
+
+    def met(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, term, place in the term) of pieces met in a text of signs, some at a time."""
+        for block in range(0, len(text), BLOCK) if self.grams else ():
+            for size, h in enumerate(self._hashes(text[block : block + BLOCK + GRAM - 1], max(self.grams)), 1):
+                if size not in self.grams:
+                    continue
+                known, slots, first, count, term, at = self.grams[size]
+                slot = self._slots(h[:BLOCK])
+                places = np.flatnonzero(known[slot])
+                which = np.searchsorted(slots, slot[places])
+                ends = np.cumsum(count[which])
+                start = 0
+                while start < len(places):
+                    done = ends[start - 1] if start else 0
+                    stop = max(int(np.searchsorted(ends, done + MET_AT_ONCE, "right")), start + 1)
+                    n = count[which[start:stop]]
+                    rows = np.repeat(first[which[start:stop]] - (ends[start:stop] - n - done), n) + np.arange(ends[stop - 1] - done)
+                    yield np.repeat(places[start:stop] + block, n), term[rows], at[rows]
+                    start = stop
 
 
 class TermIndex:
-    """Finds the windows of a text that may read like a term, for many terms in one pass over the text.
-
-    A window of a term's length n, or a whole shorter text, of ratio ``least`` or more is (1 - least) * 2n edits away
-    at most. The term is cut into pieces of PIECE characters: each edit spoils one at most, so all others stand in the
-    window, moved by no more than the edits. Windows near which so many pieces are met are candidates; none is lost.
+    """Finds the windows of texts that may read like a term, for many terms in one pass over the texts.
+
+    A window of a term's length n and of ratio ``least`` or more lacks d = (1 - least) * n of the term's characters at
+    most and has as many others, so of 2d + 1 pieces of the term one stands in it whole, moved by d at most. Around
+    each piece met, the characters in common, in order, of the term and of all windows it may belong to are counted,
+    for many places at once; the windows are candidates if these are n - d or more. None is lost: characters that share
+    a sign, and those of neighbouring texts, only add candidates. Shorter texts are one window, found likewise. Terms
+    whose pieces would be of one character, as ``least`` is low, are candidates everywhere.
     """
 
     def __init__(self, terms: list[str], least: float = 0.9):
-        self.least, self.terms = least, [lowered(t) for t in terms]
-        self.pieces: dict[str, list[tuple[int, int]]] = {}
-        for k, t in enumerate(self.terms):
-            if len(t) >= 8:
-                for at in range(0, len(t) - PIECE + 1, PIECE):
-                    self.pieces.setdefault(t[at : at + PIECE], []).append((k, at))
-
-    def starts(self, text: str) -> dict[int, np.ndarray]:
-        """For each term that may stand in the text, the first characters of its candidate windows, ascending."""
-        low, met = lowered(text), {}
-        for i in range(len(low) - PIECE + 1):
-            for k, at in self.pieces.get(low[i : i + PIECE], ()):
-                met.setdefault(k, []).append(i - at)
-        out = {}
-        for k, places in met.items():
-            n = len(self.terms[k])
-            edits, last = int(2 * (1 - self.least) * n + 1e-9), max(len(low) - n, 0)
-            need = n // PIECE - edits
-            if len(places) < need:
+        self.least, self.terms, self.everywhere = least, [lowered(t) for t in terms], []
+        codes = [_codes(t) for t in self.terms]
+        self.size = np.array([len(c) for c in codes], np.int64)
+        self.lost = ((1 - least) * self.size + 1e-9).astype(np.int64)
+        seen, count = np.unique(np.concatenate([np.empty(0, np.uint32), *codes]), return_counts=True)
+        self.sign = np.zeros(sys.maxunicode + 1, np.uint8)  # of characters that no term has: 0
+        self.sign[seen[np.argsort(-count, kind="stable")]] = 1 + np.arange(len(seen)) % (SIGNS - 1)
+        self.masks = np.zeros(len(terms) * SIGNS, np.uint64)
+        windows, wholes = [], []
+        for k, c in enumerate(codes):
+            if len(c) < 8:
                 continue
-            at = np.array(places)
-            first, stop = np.maximum(at - edits, 0), np.minimum(at + edits, last) + 1
-            ok = first < stop
-            near = np.zeros(last + 2, np.int64)
-            np.add.at(near, first[ok], 1)
-            np.add.at(near, stop[ok], -1)
-            found = np.flatnonzero(np.cumsum(near)[: last + 1] >= need)
-            if len(found):
-                out[k] = found
-        return out
+            np.bitwise_or.at(self.masks, k * SIGNS + self.sign[c[:64]].astype(np.int64), np.uint64(1) << np.arange(len(c[:64]), dtype=np.uint64))
+            parts, edits = 2 * int(self.lost[k]) + 1, int((1 - least) * (2 * len(c) - 1) + 1e-9)
+            if len(c) < 2 * max(parts, edits + 1):
+                self.everywhere.append(k)
+            else:
+                windows.append((k, c, parts))
+                wholes.append((k, c, edits + 1))
+        self.windows, self.wholes = _Pieces(self.sign, windows), _Pieces(self.sign, wholes)
+        self.longest = max([0, *self.size.tolist()])
+
+    def _alike(self, text: np.ndarray, first: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Which places ``first`` in a text of signs begin a stretch that may hold a window like the term k."""
+        ok = np.zeros(len(k), bool)
+        for n in np.unique(self.size[k]).tolist():
+            mine = np.flatnonzero(self.size[k] == n)
+            d, held = int(self.lost[k[mine[0]]]), min(n, 64)
+            steps = min(n + 2 * d, held + 3 * d) if n > 64 else n + 2 * d
+            half = held // 2  # the term's first half stands in the first half + 3d characters
+            row, at = k[mine] * SIGNS, first[mine]
+            v = np.full(len(mine), 2**64 - 1, np.uint64)
+            for s in range(steps):
+                m = v & self.masks[row + text[at + s]]
+                v = v + m | v ^ m
+                if s + 1 == half + 3 * d < steps:
+                    kept = np.bitwise_count(~v & np.uint64((1 << half) - 1)) >= half - d
+                    mine, row, at, v = mine[kept], row[kept], at[kept], v[kept]
+            ok[mine[64 - np.bitwise_count(v).astype(np.int64) >= held - d]] = True
+        return ok
+
+    def _signs(self, lows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The signs of all texts, sign 0 between and around them; where each begins; and their lengths."""
+        length = np.array([len(t) for t in lows], np.int64)
+        pad = 2 * self.longest + 2 * int(self.lost.max(initial=0)) + GRAM
+        begin = pad + np.cumsum(length + 1) - length - 1
+        signs = np.zeros(int((length + 1).sum()) + 2 * pad, np.uint8)
+        signs[pad : len(signs) - pad] = self.sign[_codes("\0".join([*lows, ""]))]
+        signs[begin + length] = 0
+        return signs, begin, length
+
+    def starts(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, term, first characters of the candidate windows, ascending) for each term that may stand in a text."""
+        lows = [lowered(t) for t in texts]
+        signs, begin, length = self._signs(lows)
+        for i in np.flatnonzero(length).tolist() if self.everywhere else ():
+            for k in self.everywhere:
+                yield i, k, np.arange(max(length[i] - self.size[k], 0) + 1)
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        for place, k, at in self.windows.met(signs):
+            row = np.searchsorted(begin, place, "right") - 1
+            kept = np.flatnonzero((signs[place] > 0) & (length[row] >= self.size[k]))
+            place, k, at, row = place[kept], k[kept], at[kept], row[kept]
+            first = place - at - self.lost[k]
+            kept = self._alike(signs, first, k)
+            for i, t, f in zip(row[kept].tolist(), k[kept].tolist(), (first - begin[row])[kept].tolist()):
+                n, d = int(self.size[t]), int(self.lost[t])
+                found.setdefault((i, t), []).append(np.arange(max(f, 0), min(f + 2 * d, int(length[i]) - n) + 1))
+        short = np.flatnonzero((length > 0) & (length < self.longest))
+        signs, begin, length = self._signs([lows[i] for i in short.tolist()])
+        for place, k, _ in self.wholes.met(signs):
+            row = np.searchsorted(begin, place, "right") - 1
+            # The shorter of the two has all characters in common, at most.
+            kept = (signs[place] > 0) & (self.size[k] > length[row]) & (2 * length[row] >= self.least * (self.size[k] + length[row]) - 1e-9)
+            found.update({(i, t): [np.zeros(1, np.int64)] for i, t in zip(short[row[kept]].tolist(), k[kept].tolist())})
+        for (i, t), places in sorted(found.items()):
+            if len(places := np.unique(np.concatenate(places))):
+                yield i, t, places
 
 
 def fuzzy_terms(docs: DataFrame, terms: DataFrame, least: float = 0.9) -> DataFrame:
@@ -310,13 +423,25 @@ def fuzzy_terms(docs: DataFrame, terms: DataFrame, least: float = 0.9) -> DataFr
     return out.join(terms.select("item_id", "term"), "term").select("doc_id", "item_id", "start", "stop", "ratio")
 
 
+def _stretches(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of the texts that hold BLOCK characters at most, but for longer ones."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) >= BLOCK:
+            yield start, i
+            start, size = i, 0
+        size += len(t) + 1
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _scan(index, terms: list[str], least: float):
     def scan(batches):
         for batch in batches:
-            rows = []
-            for i, text in enumerate(batch["text"]):
-                for k, starts in index.value.starts(text or "").items():
-                    rows += [(i, terms[k], a, b, r) for a, b, r in fuzzy_spans(text, terms[k], least, starts=starts)]
+            rows, texts = [], [t or "" for t in batch["text"]]
+            for first, last in _stretches(texts):
+                for i, k, starts in index.value.starts(texts[first:last]):
+                    rows += [(first + i, terms[k], a, b, r) for a, b, r in fuzzy_spans(texts[first + i], terms[k], least, starts=starts)]
             at = [r[0] for r in rows]
             yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at].to_numpy(), "term": [r[1] for r in rows], "start": [r[2] for r in rows], "stop": [r[3] for r in rows], "ratio": [r[4] for r in rows]})
 

@@ -1,6 +1,7 @@
 """Streams, files, kernels and operators that decide in order."""
 
 import random
+import types
 
 import numpy as np
 import pandas as pd
@@ -176,6 +177,40 @@ def test_term_index_loses_no_fuzzy_span(spark):
     assert sorted(got) == sorted(want) and len(want) > 100
 
 
+def _found_in_process(texts, terms, least):
+    """What fuzzy_terms finds in one batch of a task, without Spark."""
+    scan = align._scan(types.SimpleNamespace(value=align.TermIndex(terms, least)), terms, least)
+    return [tuple(r) for b in scan([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})]) for r in b.itertuples(index=False)]
+
+
+def test_term_index_hands_on_few_windows(monkeypatch):
+    docs, items = (pd.read_parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    terms = sorted({" ".join(t.split(" ")[:4]) for t in items["text"]})
+    calls, kernel = [], align._lcs
+    monkeypatch.setattr(align, "_lcs", lambda *a: calls.append(1) or kernel(*a))
+    texts = docs["text"].tolist()[:40]
+    _found_in_process(texts, terms, 0.9)
+    assert len(calls) < sum(len(t or "") for t in texts) / 100
+
+
+@pytest.mark.parametrize("least", [1.0, 0.95, 0.8, 0.65])
+def test_term_index_loses_nothing_at_other_ratios(least):
+    rng = random.Random(11)
+    letters = "abcdefghijklmn \u00e9\u4e2d\U0001f600\0"
+    terms = sorted({"".join(rng.choice(letters[:-1]) for _ in range(n)) for n in (7, 8, 9, 12, 13, 17, 30, 63, 64, 65, 90) for _ in range(2)} | {"abcdefgh"})
+    texts = [None, "", "abXdeXgh", "\0" * 30]
+    for _ in range(40):
+        parts = []
+        for t in rng.sample(terms, rng.randrange(1, 3)):
+            t = list(t)
+            for _ in range(rng.randrange(0, 2 + int(len(t) * (1 - least)))):
+                t[rng.randrange(len(t))] = rng.choice(["", "z", "qq", "\0"])
+            parts += ["".join(t), "".join(rng.choice(letters) for _ in range(rng.choice([0, 0, 9])))]
+        texts.append("".join(parts))
+    want = [(i, t, *s) for i, x in enumerate(texts) for t in terms for s in align.fuzzy_spans(x or "", t, least)]
+    assert sorted(_found_in_process(texts, terms, least)) == sorted(want) and len(want) > 10
+
+
 def test_prose_with_markers_of_their_own(spark):
     text = "dari PT Satu a/n PT Dua, ke Bank a/n Tiga 12 kepada Yth Empat Lima; a/n"
     words = spark.createDataFrame([(1, k, w) for k, w in enumerate(text.split())] + [(2, 0, None)], "doc_id long, word_idx int, text string")
