@@ -592,6 +592,40 @@ def test_tokens(spark, rows):
     assert dac_tokens.round_trip(empty(spark), path).count() == 0
 
 
+def test_tokens_hand_each_piece_to_the_library_once(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    encoder = dac_tokens.Encoder(P.path("word_bpe_49k.json"))
+    handed, library = [], encoder.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            handed.extend(w for t in texts for w in t.split(" "))
+            return library.encode_batch_fast(texts, **how)
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+    encoder.library = Counted()
+    monkeypatch.setattr(dac_tokens, "REMEMBERED", 40)
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("abcdeé") for _ in range(7)) for _ in range(12)]
+    texts = [" ".join(rng.choice([w, w.title(), w.upper()]) + rng.choice(["", ",", "...", "%%%", "7"]) for w in rng.choices(stems, k=200)) for _ in range(6)]
+    texts += ["", "  ", " a\n\n b ", "\x1c don't\x1d<|endoftext|>x É\u0301 é", "one\x1ftwo"]
+    for part in ([*texts[:3], ""], texts[3:], texts):  # words are forgotten between
+        ids, sizes = encoder.encode(pa.array(part))
+        want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in part]
+        assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+        assert len(handed) == len(set(handed)) <= len(stems) + 8
+        handed.clear()
+    assert encoder.encode(pa.array(["", ""]))[1].tolist() == [1, 1]
+    for flag in ("cuts", "folds"):  # a library without these rules is asked for every word, or every writing
+        monkeypatch.setattr(encoder, flag, False)
+        ids, _ = encoder.encode(pa.array([texts[0] + f" Zz{flag}.1"]))
+        assert ids.tolist() == [*library.encode(texts[0] + f" Zz{flag}.1", add_special_tokens=False).ids, 1]
+
+
 # --- op10
 
 
